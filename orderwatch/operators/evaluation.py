@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import half_even
 from .labelling import intent_label
 
 CREATE_TOOL = "create_inspection_task"
@@ -77,7 +78,7 @@ def evaluate(questions: DataFrame, metric_ok: Column, task_ok: Column, hits: Dat
 
 def _rate(ok: Column, scope: Column) -> Column:
     share = F.avg(F.when(scope, ok.cast("double"))) * 100
-    return F.round(share, 1)
+    return half_even(share, 1)
 
 
 def summary(evaluated: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def by_group(evaluated: DataFrame) -> DataFrame:
     return (
         cells.select(F.inline(entries), "n", "ok")
         .groupBy("dimension", "value")
-        .agg(total.alias("n_questions"), F.round(F.sum("ok") * F.lit(100.0) / total, 1).alias("intent_accuracy"))
+        .agg(total.alias("n_questions"), half_even(F.sum("ok") / total * F.lit(100), 1).alias("intent_accuracy"))
     )
 
 

@@ -236,15 +236,20 @@ def review_risk_metrics(tables: Tables, period: str | None = None) -> DataFrame:
     return _measure(facts, ["seller_id", *(["period"] if period else [])], review_measures())
 
 
-def product_lines(tables: Tables, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Product items per order, restricted by purchase time when asked for.
+def product_lines(
+    tables: Tables, start: str | None = None, end: str | None = None, period: str | None = None
+) -> DataFrame:
+    """Product items per order, restricted or split by purchase time if asked.
 
-    Without a window the order table is not needed and is not read.
+    Without a window or a period the order table is not needed and not read.
     """
     lines = items_per_order(tables["order_items"], "product_id")
+    bought = tables["orders"].filter(purchase_window(start, end))
+    if period:
+        month = F.date_trunc(period, "order_purchase_timestamp").cast("date")
+        return lines.join(bought.select("order_id", month.alias("period")), "order_id")
     if start or end:
-        bought = tables["orders"].filter(purchase_window(start, end)).select("order_id")
-        lines = lines.join(bought, "order_id", "left_semi")
+        return lines.join(bought.select("order_id"), "order_id", "left_semi")
     return lines
 
 
@@ -262,9 +267,11 @@ def product_measures() -> dict[str, Column]:
     }
 
 
-def product_quality_metrics(tables: Tables, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Quality signals per product that was ordered."""
-    facts = product_lines(tables, start, end).join(
+def product_quality_metrics(
+    tables: Tables, start: str | None = None, end: str | None = None, period: str | None = None
+) -> DataFrame:
+    """Quality signals per product that was ordered, optionally per period."""
+    facts = product_lines(tables, start, end, period).join(
         reviews_per_order(tables["order_reviews"]), "order_id", "left"
     )
     measures = product_measures()
@@ -274,10 +281,11 @@ def product_quality_metrics(tables: Tables, start: str | None = None, end: str |
         as_double("product_weight_g").alias("weight_g"),
         as_int("product_photos_qty").alias("photos_qty"),
     )
+    keys = ["product_id", *(["period"] if period else [])]
     return (
-        _measure(facts, ["product_id"], measures)
+        _measure(facts, keys, measures)
         .join(details, "product_id")
-        .select("product_id", "product_category_name", *measures, "weight_g", "photos_qty")
+        .select("product_id", "product_category_name", *keys[1:], *measures, "weight_g", "photos_qty")
     )
 
 

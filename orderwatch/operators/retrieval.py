@@ -20,6 +20,7 @@ from ..session import fits_broadcast
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 SUBSTRING_SCORE = 999.0
 SECTION_BOOST = 0.5
+SEED_CHARS = 12
 
 INDEXED = ("text", "source", "section", "parent_section", "content_type")
 TEXT_ONLY = {"text": 1.0}
@@ -229,28 +230,37 @@ def search(
     if not fallback:
         return answered
     rest = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-    return answered.unionByName(substring_search(chunks, rest, top_k, content_type))
+    return answered.unionByName(_containing(chunks, rest, _seed_sizes(queries), top_k, content_type))
 
 
 def substring_search(chunks: DataFrame, queries: DataFrame, top_k: int = 5, content_type: str | None = None) -> DataFrame:
-    """Chunks whose text contains the query literally, case ignored.
+    """Chunks whose text contains the query literally, case ignored."""
+    return _containing(chunks, queries, _seed_sizes(queries), top_k, content_type)
 
-    A text that contains a query contains its first three characters. Texts and
-    queries meet on those grams, so no text is compared with a query it cannot
-    hold.
+
+def _seed_sizes(queries: DataFrame) -> list[int]:
+    """Lengths of the queries' first characters used to find them (few values)."""
+    size = F.least(F.length(F.lower("query")), F.lit(SEED_CHARS))
+    return [n for n in queries.agg(F.collect_set(size)).first()[0] if n > 0]
+
+
+def _containing(
+    chunks: DataFrame, queries: DataFrame, sizes: Sequence[int], top_k: int, content_type: str | None
+) -> DataFrame:
+    """Texts and queries meet on the first characters of the query.
+
+    A text that contains a query contains those characters somewhere, so no text
+    is compared with a query it cannot hold.
     """
     if content_type:
         chunks = chunks.filter(F.col("content_type") == content_type)
     wanted = queries.select("query_id", F.lower("query").alias("_q")).filter("length(_q) > 0")
-    wanted = wanted.withColumn("gram", F.substring("_q", 1, 3))
+    wanted = wanted.withColumn("seed", F.substring("_q", 1, SEED_CHARS))
     text = F.lower("text")
-    grams = F.array_distinct(
-        F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3))))
-    )
-    rows = _indexed(chunks).select("chunk_id", text.alias("_text"))
-    # queries of one or two characters need the shorter grams
-    rows = rows.withColumn("gram", F.explode(grams))
-    found = rows.join(wanted, "gram").filter(F.contains("_text", "_q"))
+    seeds = [F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    seeds = F.array_distinct(F.flatten(F.array(*seeds))) if seeds else F.array().cast("array<string>")
+    rows = _indexed(chunks).select("chunk_id", text.alias("_text"), F.explode(seeds).alias("seed"))
+    found = rows.join(wanted, "seed").filter(F.contains("_text", "_q"))
     order = Window.partitionBy("query_id").orderBy("chunk_id")
     return (
         found.select("query_id", "chunk_id")

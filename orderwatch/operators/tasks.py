@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import percent
+from ..session import cut_lineage
 
 TASK_SCHEMA = (
     "task_id string, task_type string, priority string, status string, target_id string, title string, "
@@ -77,12 +78,14 @@ def number_tasks(new: DataFrame, existing: DataFrame | None = None, prefix: str
 
     Numbers are dense per day and follow the md5 of the task's content. A day is
     cut into buckets by that md5: ranks are taken inside a bucket and shifted by
-    the sizes of the buckets before it, so no task ever sorts a whole day.
+    the sizes of the buckets before it, so no task ever sorts a whole day. Ranks
+    and sizes must describe the same rows: the candidates, which are few next to
+    the data they come from, are checkpointed first.
     """
-    content = F.md5(F.concat_ws("|", "target_id", "task_type", "priority", "title", "description", "assignee"))
+    content = F.md5(F.concat_ws("|", "target_id", "task_type", "priority", "title"))
     rows = new.withColumns({"id_day": _day(), "id_hash": content})
-    rows = rows.withColumn("id_bucket", F.substring("id_hash", 1, ID_BUCKETS))
-    in_bucket = Window.partitionBy("id_day", "id_bucket").orderBy("id_hash")
+    rows = cut_lineage(rows.withColumn("id_bucket", F.substring("id_hash", 1, ID_BUCKETS)))
+    in_bucket = Window.partitionBy("id_day", "id_bucket").orderBy("id_hash", "description", "assignee")
     ranked = rows.withColumn("id_rank", F.row_number().over(in_bucket))
     before = Window.partitionBy("id_day").orderBy("id_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (

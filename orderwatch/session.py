@@ -33,12 +33,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` into the folder the session names.
 
     The blocks land on the shared file system, so the result outlives a lost
-    executor. A folder of our own is used only when the session has none.
+    executor. Only a local session may go without such a folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="orderwatch-checkpoint-"))
     return df.checkpoint()
 
