@@ -230,37 +230,77 @@ def search(
     if not fallback:
         return answered
     rest = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-    return answered.unionByName(_containing(chunks, rest, _seed_sizes(queries), top_k, content_type))
+    return answered.unionByName(_containing(chunks, rest, _seed_shapes(queries), top_k, content_type))
 
 
 def substring_search(chunks: DataFrame, queries: DataFrame, top_k: int = 5, content_type: str | None = None) -> DataFrame:
     """Chunks whose text contains the query literally, case ignored."""
-    return _containing(chunks, queries, _seed_sizes(queries), top_k, content_type)
+    return _containing(chunks, queries, _seed_shapes(queries), top_k, content_type)
 
 
-def _seed_sizes(queries: DataFrame) -> list[int]:
-    """Lengths of the queries' first characters used to find them (few values)."""
-    size = F.least(F.length(F.lower("query")), F.lit(SEED_CHARS))
-    return [n for n in queries.agg(F.collect_set(size)).first()[0] if n > 0]
+def _seeds(queries: DataFrame) -> DataFrame:
+    """For each query a short string that every text with the query holds.
+
+    ``pair``: two neighbouring words, not the first, as they stand in the text
+    (the second may go on there). ``word``: part of a single word. ``mark``: part
+    of a run of other characters, for a query without words. The longest choice
+    is taken, cut to ``SEED_CHARS`` characters.
+    """
+    rows = queries.select("query_id", F.lower("query").alias("_q")).filter("length(_q) > 0")
+    rows = rows.withColumn("_t", tokens(F.col("_q")))
+
+    def longest(values: Column) -> Column:
+        return F.array_max(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
+
+    inner = F.transform(
+        F.sequence(F.lit(2), F.size("_t") - 1), lambda j: F.concat_ws(" ", F.get("_t", j - 1), F.get("_t", j))
+    )
+    kind = F.when(F.size("_t") > 2, "pair").when(F.size("_t") > 0, "word").otherwise("mark")
+    seed = F.when(F.size("_t") > 2, longest(inner)).when(F.size("_t") > 0, longest(F.col("_t"))).otherwise(F.col("_q"))
+    return rows.select("query_id", "_q", kind.alias("kind"), F.substring(seed, 1, SEED_CHARS).alias("seed"))
+
+
+def _seed_shapes(queries: DataFrame) -> dict[str, list[int]]:
+    """Seed lengths per kind: at most three times ``SEED_CHARS`` numbers."""
+    shapes = _seeds(queries).select("kind", F.length("seed").alias("n")).distinct().collect()
+    return {kind: sorted(r["n"] for r in shapes if r["kind"] == kind) for kind in ("pair", "word", "mark")}
 
 
 def _containing(
-    chunks: DataFrame, queries: DataFrame, sizes: Sequence[int], top_k: int, content_type: str | None
+    chunks: DataFrame, queries: DataFrame, shapes: Mapping[str, list[int]], top_k: int, content_type: str | None
 ) -> DataFrame:
-    """Texts and queries meet on the first characters of the query.
-
-    A text that contains a query contains those characters somewhere, so no text
-    is compared with a query it cannot hold.
-    """
+    """Texts and queries meet on the seeds, so that the literal comparison is
+    made only where a text holds the query's seed."""
     if content_type:
         chunks = chunks.filter(F.col("content_type") == content_type)
-    wanted = queries.select("query_id", F.lower("query").alias("_q")).filter("length(_q) > 0")
-    wanted = wanted.withColumn("seed", F.substring("_q", 1, SEED_CHARS))
-    text = F.lower("text")
-    seeds = [F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    seeds = F.array_distinct(F.flatten(F.array(*seeds))) if seeds else F.array().cast("array<string>")
-    rows = _indexed(chunks).select("chunk_id", text.alias("_text"), F.explode(seeds).alias("seed"))
-    found = rows.join(wanted, "seed").filter(F.contains("_text", "_q"))
+
+    def opening(value: Column, sizes: list[int]) -> Column:
+        fitting = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(value))
+        return F.transform(fitting, lambda n: F.substring(value, F.lit(1), n))
+
+    def inside(value: Column, sizes: list[int]) -> Column:
+        starts = F.sequence(F.lit(1), F.length(value))
+        return F.flatten(F.transform(starts, lambda i: opening(F.substring(value, i, F.lit(SEED_CHARS)), sizes)))
+
+    def keyed(kind: str, values: Column) -> Column:
+        found = F.array_distinct(F.flatten(values))
+        return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("seed")))
+
+    text = F.col("_text")
+    words = tokens(text)
+    marks = F.filter(F.split(text, r"[\p{L}\p{N}]+"), lambda m: m != "")
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    parts = []
+    if shapes["pair"]:
+        parts.append(keyed("pair", F.transform(pairs, lambda v: opening(v, shapes["pair"]))))
+    if shapes["word"]:
+        parts.append(keyed("word", F.transform(F.array_distinct(words), lambda v: inside(v, shapes["word"]))))
+    if shapes["mark"]:
+        parts.append(keyed("mark", F.transform(F.array_distinct(marks), lambda v: inside(v, shapes["mark"]))))
+    seeds = F.concat(*parts) if parts else F.array().cast("array<struct<kind:string,seed:string>>")
+    rows = _indexed(chunks).select("chunk_id", F.lower("text").alias("_text"))
+    rows = rows.select("chunk_id", "_text", F.inline(seeds))
+    found = rows.join(_seeds(queries), ["kind", "seed"]).filter(F.contains("_text", "_q"))
     order = Window.partitionBy("query_id").orderBy("chunk_id")
     return (
         found.select("query_id", "chunk_id")
