@@ -37,6 +37,18 @@ def strip_reasoning(text: Column) -> Column:
     return _trim(F.regexp_replace(text, REASONING, ""))
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The parser stops after the first value and ignores what follows. Text that
+    parses both as the only member of an array and of an object has nothing
+    left over: what would end one early is an error in the other.
+    """
+    member = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    value = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return member.isNotNull() & value.isNotNull()
+
+
 def json_block(text: Column) -> Column:
     """JSON text of the first fenced block, else the widest object or array.
 
@@ -44,7 +56,7 @@ def json_block(text: Column) -> Column:
     """
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     bare = (F.regexp_extract(text, pattern, 0) for pattern in (r"(?s)\{.*\}", r"(?s)\[.*\]"))
-    return F.coalesce(*(F.when(F.try_parse_json(_trim(c)).isNotNull(), _trim(c)) for c in (fenced, *bare)))
+    return F.coalesce(*(F.when(is_json(_trim(c)), _trim(c)) for c in (fenced, *bare)))
 
 
 def is_refusal(text: Column) -> Column:

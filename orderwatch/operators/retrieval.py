@@ -28,12 +28,14 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 # Phrases of a query batch up to this many are joined by broadcast (each is a
 # word of a query); larger batches go through the distinct vocabulary.
-MAX_BROADCAST_PHRASES = 200_000
+MAX_BROADCAST_PHRASES = 50_000
+# Places and phrases meet on their first characters, at most this many.
+KEY_CHARS = 4
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), NOT_WORD), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 
 # ------------------------------------------------------------- index tables
@@ -41,14 +43,10 @@ def tokens(text: Column) -> Column:
 
 def postings(chunks: DataFrame, columns: Sequence[str] = INDEXED) -> DataFrame:
     """How often each term occurs in each column of each chunk."""
-    fields = F.flatten(
-        F.array(
-            *(
-                F.transform(tokens(F.coalesce(c, F.lit(""))), lambda t, c=c: F.struct(t.alias("term"), F.lit(c).alias("field")))
-                for c in columns
-            )
-        )
-    )
+    def field(c: str) -> Column:
+        return F.transform(tokens(F.coalesce(c, F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(c).alias("field")))
+
+    fields = F.flatten(F.array(*map(field, columns)))
     rows = _indexed(chunks).select("chunk_id", F.inline(fields))
     return rows.groupBy("term", "chunk_id", "field").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -100,35 +98,40 @@ def query_phrases(queries: DataFrame) -> DataFrame:
 
 def _places(chunks: DataFrame, weights: Mapping[str, float], columns: Sequence[str], n_parts: int, keep: Sequence[str]) -> DataFrame:
     """One row per token place: the next ``n_parts`` tokens and the weight."""
-    indexed = _indexed(chunks)
-    lists = {c: F.col(f"_t_{c}") for c in columns}
-    rows = indexed.select(
-        "chunk_id", *keep, *(tokens(F.coalesce(c, F.lit(""))).alias(f"_t_{c}") for c in columns)
+    rows = _indexed(chunks).select(
+        "chunk_id", *keep, *(tokens(F.coalesce(c, F.lit(""))).alias(f"_t{i}") for i, c in enumerate(columns))
     )
 
-    def starts(c: str) -> Column:
-        weight = F.lit(float(weights.get(c, 0.0)))
-        if n_parts == 1:
-            return F.transform(lists[c], lambda t: F.struct(t.alias("place"), weight.alias("weight")))
-        # shifted copies of the token list, joined place by place
-        shifted = [F.slice(lists[c], i + 1, F.greatest(F.size(lists[c]) - i, F.lit(0))) for i in range(n_parts)]
-        zipped = F.arrays_zip(*(s.alias(f"p{i}") for i, s in enumerate(shifted)))
-        return F.transform(
-            zipped,
-            lambda z: F.struct(
-                F.concat_ws(" ", *(z[f"p{i}"] for i in range(n_parts))).alias("place"), weight.alias("weight")
-            ),
-        )
-
-    length = F.size(lists[columns[0]])
-    for c in columns[1:]:
-        length = length + F.size(lists[c])
-    return rows.select("chunk_id", *keep, length.alias("n_tokens"), F.inline(F.flatten(F.array(*map(starts, columns)))))
+    def phrases_at(words: Column) -> Column:
+        joined = words
+        for shift in range(1, n_parts):
+            rest = F.slice(words, shift + 1, F.greatest(F.size(words) - shift, F.lit(0)))
+            joined = F.zip_with(joined, rest, lambda a, b: F.concat_ws(" ", a, b))
+        return joined
+
+    lists = [F.col(f"_t{i}") for i in range(len(columns))]
+    n_tokens = sum((F.size(words) for words in lists[1:]), F.size(lists[0]))
+    # the place's position tells its column, and so its weight
+    weight, last = F.lit(0.0), F.size(lists[0])
+    ends = [last]
+    for words in lists[1:]:
+        last = last + F.size(words)
+        ends.append(last)
+    for i in reversed(range(len(columns))):
+        weight = F.when(F.col("pos") < F.col(f"_end{i}"), float(weights.get(columns[i], 0.0))).otherwise(weight)
+    rows = rows.select(
+        "chunk_id",
+        *keep,
+        n_tokens.alias("n_tokens"),
+        *(end.alias(f"_end{i}") for i, end in enumerate(ends)),
+        F.posexplode(F.concat(*map(phrases_at, lists))).alias("pos", "place"),
+    )
+    return rows.select("chunk_id", *keep, "n_tokens", "place", weight.alias("weight"))
 
 
-def _prefixes(place: Column, lengths: Column) -> Column:
-    fitting = F.filter(lengths, lambda n: n <= F.length(place))
-    return F.transform(fitting, lambda n: F.substring(place, F.lit(1), n))
+def _keys(place: Column, sizes: Sequence[int]) -> Column:
+    """The place's openings of the given lengths, as an array without gaps."""
+    return F.array(*(F.when(F.length(place) >= n, F.substring(place, 1, n)) for n in sizes))
 
 
 def phrase_hits(
@@ -141,27 +144,30 @@ def phrase_hits(
 ) -> DataFrame:
     """Weighted frequency of each needed phrase in each chunk that has it.
 
-    A place matches a phrase when the phrase is a prefix of it, that is when one
-    of the place's own prefixes equals the phrase: an equi-join. A proven-small
-    phrase set is broadcast to the scan. A larger one is matched against the
-    distinct places first, and their counts are joined with the result.
+    A place matches a phrase when it starts with it. Both meet on the phrase's
+    first ``KEY_CHARS`` characters (an equi-join) and are then compared whole. A
+    proven-small phrase set is broadcast to the scan. A larger one is matched
+    against the distinct places first, and their counts are joined with the
+    result.
     """
     needed = phrases.filter("phrase != ''").select("phrase", "n_parts").distinct()
+    key = F.substring("phrase", 1, KEY_CHARS)
     shape = needed.agg(
-        F.array_sort(F.collect_set(F.length("phrase"))).alias("lengths"), F.max("n_parts").alias("n_parts")
+        F.array_sort(F.collect_set(F.length(key))).alias("sizes"), F.max("n_parts").alias("n_parts")
     ).first()
-    lengths = F.array(*(F.lit(n) for n in shape["lengths"])) if shape["lengths"] else F.array().cast("array<int>")
-    needed = needed.select("phrase")
+    sizes = shape["sizes"] or [KEY_CHARS]
+    needed = needed.select("phrase", key.alias("key"))
     places = _places(chunks, weights, columns, shape["n_parts"] or 1, keep)
     group = ("chunk_id", *keep, "n_tokens")
+    whole = F.startswith("place", "phrase")
     if fits_broadcast(needed, max_broadcast):
-        found = places.select(*group, "weight", F.explode(_prefixes(F.col("place"), lengths)).alias("phrase"))
-        found = found.join(F.broadcast(needed), "phrase")
+        found = places.select(*group, "weight", "place", F.explode(_keys(F.col("place"), sizes)).alias("key"))
+        found = found.join(F.broadcast(needed), "key").filter(whole)
         return found.groupBy(*group, "phrase").agg(F.sum("weight").alias("tf"))
     counted = places.groupBy(*group, "place").agg(F.sum("weight").alias("tf"))
     known = places.select("place").distinct()
-    matched = known.select("place", F.explode(_prefixes(F.col("place"), lengths)).alias("phrase"))
-    matched = matched.join(needed, "phrase")
+    matched = known.select("place", F.explode(_keys(F.col("place"), sizes)).alias("key"))
+    matched = matched.join(needed, "key").filter(whole).select("place", "phrase")
     return counted.join(matched, "place").groupBy(*group, "phrase").agg(F.sum("tf").alias("tf"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -19,6 +20,16 @@ MISSING, UNREADABLE, EMPTY, NO_ROWS = (
 )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def audit_files(spark: SparkSession, folder: str, expected: Iterable[str] | None = None) -> DataFrame:
     """One row per expected file: is it there, and what is wrong with it.
 
@@ -26,19 +37,18 @@ def audit_files(spark: SparkSession, folder: str, expected: Iterable[str] | None
     holds most of the data is still read by many tasks.
     """
     names = list(TABLE_FILES.values()) if expected is None else list(expected)
-    wanted = spark.createDataFrame([(n,) for n in names], "file_name string")
-    try:
-        lines = spark.read.option("recursiveFileLookup", True).text(folder)
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return wanted.select("file_name", F.lit(False).alias("present"), F.lit(MISSING).alias("problem"))
-    base = F.element_at(F.split("path", "/"), -1)
-    present = found.select(base.alias("file_name")).distinct().withColumn("present", F.lit(True))
+    root = folder.rstrip("/")
+    there = [(n, _exists(spark, f"{root}/{n}")) for n in names]
+    wanted = spark.createDataFrame(there, "file_name string, present boolean")
+    paths = [f"{root}/{n}" for n, present in there if present]
+    if not paths:
+        return wanted.select("file_name", "present", F.lit(MISSING).alias("problem"))
     text = F.col("value")
+    # empty files give no rows, a folder of part files counts as one file
+    name = F.regexp_extract("_metadata.file_path", "|".join(re.escape(n) + "(?=/|$)" for n in names), 0)
     per_file = (
-        lines.select(F.col("_metadata.file_name").alias("file_name"), "value")
+        spark.read.text(paths)
+        .select(name.alias("file_name"), "value")
         .groupBy("file_name")
         .agg(
             F.count_if(F.length(F.trim(F.make_valid_utf8(text))) > 0).alias("filled_lines"),
@@ -46,16 +56,12 @@ def audit_files(spark: SparkSession, folder: str, expected: Iterable[str] | None
         )
     )
     problem = (
-        F.when(F.col("present").isNull(), MISSING)
+        F.when(~F.col("present"), MISSING)
         .when(F.coalesce("broken_lines", F.lit(0)) > 0, UNREADABLE)
         .when(F.coalesce("filled_lines", F.lit(0)) == 0, EMPTY)
         .when(F.col("filled_lines") < 2, NO_ROWS)
     )
-    return (
-        wanted.join(present, "file_name", "left")
-        .join(per_file, "file_name", "left")
-        .select("file_name", F.coalesce("present", F.lit(False)).alias("present"), problem.alias("problem"))
-    )
+    return wanted.join(per_file, "file_name", "left").select("file_name", "present", problem.alias("problem"))
 
 
 def catalog_counts(tables: Mapping[str, DataFrame], marts: Mapping[str, DataFrame]) -> DataFrame:
