@@ -158,17 +158,20 @@ def phrase_hits(
     sizes = shape["sizes"] or [KEY_CHARS]
     needed = needed.select("phrase", key.alias("key"))
     places = _places(chunks, weights, columns, shape["n_parts"] or 1, keep)
-    group = ("chunk_id", *keep, "n_tokens")
+    about = ("n_tokens", *keep)
+    same = [F.any_value(c).alias(c) for c in about]  # one value per chunk
     whole = F.startswith("place", "phrase")
     if fits_broadcast(needed, max_broadcast):
-        found = places.select(*group, "weight", "place", F.explode(_keys(F.col("place"), sizes)).alias("key"))
+        found = places.select(
+            "chunk_id", *about, "weight", "place", F.explode(_keys(F.col("place"), sizes)).alias("key")
+        )
         found = found.join(F.broadcast(needed), "key").filter(whole)
-        return found.groupBy(*group, "phrase").agg(F.sum("weight").alias("tf"))
-    counted = places.groupBy(*group, "place").agg(F.sum("weight").alias("tf"))
+        return found.groupBy("chunk_id", "phrase").agg(F.sum("weight").alias("tf"), *same)
+    counted = places.groupBy("chunk_id", "place").agg(F.sum("weight").alias("tf"), *same)
     known = places.select("place").distinct()
     matched = known.select("place", F.explode(_keys(F.col("place"), sizes)).alias("key"))
     matched = matched.join(needed, "key").filter(whole).select("place", "phrase")
-    return counted.join(matched, "place").groupBy(*group, "phrase").agg(F.sum("tf").alias("tf"))
+    return counted.join(matched, "place").groupBy("chunk_id", "phrase").agg(F.sum("tf").alias("tf"), *same)
 
 
 # -------------------------------------------------------------------- search
@@ -189,52 +192,60 @@ def search(
     Chunks with all phrases answer a query. With ``fallback``, a query of
     several words without such a chunk takes chunks with any phrase, and a query
     still without an answer takes chunks whose text contains it literally.
+
+    For complete matches only the chunks with the query's rarest phrase are
+    looked at; every phrase of every chunk is scored just for queries that have
+    no complete match.
     """
     n_words = F.size(F.filter(F.split("query", r"\s+"), lambda w: w != ""))
     phrases = query_phrases(queries)
+    small = fits_broadcast(phrases, max_broadcast)
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df  # at most one row per phrase of a query
+
     keep = ("content_type",) if content_type else ()
     hits = phrase_hits(chunks, phrases, weights, columns, keep, max_broadcast)
+    # every use reads tf and n_tokens, so that Spark computes the hits once
+    hits = hits.filter((F.col("tf") >= 0) & (F.col("n_tokens") >= 0))
 
-    # the filters on tf keep both uses of the hits identical, so that Spark
-    # computes their shuffle once
-    filled = hits.filter(F.col("tf") >= 0)
-    frequency = filled.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    corpus = corpus_stats(chunks, columns)
-    total = corpus.select(F.struct("n_chunks", "avg_tokens")).scalar()
+    frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    total = corpus_stats(chunks, columns).select(F.struct("n_chunks", "avg_tokens")).scalar()
     rarity = F.log((total["n_chunks"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = frequency.select("phrase", F.greatest(rarity, F.lit(MIN_IDF)).alias("idf"))
-
-    asked = phrases.join(queries.select("query_id", n_words.alias("n_words")), "query_id")
-    per_query = Window.partitionBy("query_id")
-    asked = asked.withColumn("n_phrases", F.count(F.lit(1)).over(per_query))
-    asked = asked.filter("phrase != ''").join(weighted, "phrase")
-    if fits_broadcast(phrases, max_broadcast):
-        asked = F.broadcast(asked)
+    weighted = frequency.select("phrase", "df", F.greatest(rarity, F.lit(MIN_IDF)).alias("idf"))
+    sizes = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_phrases"))
+    asked = phrases.filter("phrase != ''").join(near(weighted), "phrase")
+    rarest = (
+        asked.groupBy("query_id")
+        .agg(F.count(F.lit(1)).alias("n_known"), F.min_by("phrase", F.struct("df", "phrase")).alias("phrase"))
+        .join(sizes, "query_id")
+        .filter("n_known = n_phrases")
+        .select("query_id", "phrase", "n_phrases")
+    )
 
     size = F.col("n_tokens") / total["avg_tokens"]
     tf = F.col("tf")
     gain = F.col("repeats") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
-    scored = (
-        filled.join(asked, "phrase")
-        .groupBy("query_id", "chunk_id", "n_phrases", "n_words", *keep)
-        .agg(F.sum(gain).alias("score"), F.count(F.lit(1)).alias("n_matched"))
-        .withColumn("has_all", F.col("n_matched") == F.col("n_phrases"))
-    )
-    any_phrase = F.lit(fallback) & (F.col("n_words") > 1)
-    scored = scored.filter(F.col("has_all") | any_phrase)
-    if content_type:
-        scored = scored.filter(F.col("content_type") == content_type)
-    # complete matches first: the limit is applied inside each partition, and
-    # whether a query has any is decided on its few remaining rows
-    score = F.round("score", 6)
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("has_all"), F.desc(score), "chunk_id")
-    ranked = scored.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= top_k)
-    complete = F.max("has_all").over(Window.partitionBy("query_id"))
-    answered = ranked.withColumn("_any", complete).filter(F.col("has_all") == F.col("_any"))
-    matched_by = F.when(F.col("has_all"), "all").otherwise("any")
-    answered = answered.select("query_id", "chunk_id", "score", matched_by.alias("matched_by"), "rank")
+    scores = (F.sum(gain).alias("score"), F.count(F.lit(1)).alias("n_matched"))
+    typed = F.col("content_type") == content_type if content_type else F.lit(True)
+
+    def best(scored: DataFrame, matched_by: str) -> DataFrame:
+        # the limit on the rank is applied inside each partition first
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "chunk_id")
+        ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+        return ranked.select("query_id", "chunk_id", "score", F.lit(matched_by).alias("matched_by"), "rank")
+
+    candidates = hits.filter(typed).join(near(rarest), "phrase").select("query_id", "chunk_id", "n_phrases")
+    wanted = candidates.join(near(asked.select("query_id", "phrase", "repeats", "idf")), "query_id")
+    full = wanted.join(hits, ["chunk_id", "phrase"]).groupBy("query_id", "chunk_id", "n_phrases").agg(*scores)
+    answered = best(full.filter("n_matched = n_phrases"), "all")
     if not fallback:
         return answered
+
+    several = queries.select("query_id", n_words.alias("n_words")).filter("n_words > 1")
+    open_queries = several.join(answered.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    partial = hits.filter(typed).join(near(asked.join(open_queries, "query_id", "left_semi")), "phrase")
+    answered = answered.unionByName(best(partial.groupBy("query_id", "chunk_id").agg(*scores), "any"))
     rest = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
     return answered.unionByName(_containing(chunks, rest, _seed_shapes(queries), top_k, content_type))
 

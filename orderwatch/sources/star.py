@@ -7,6 +7,8 @@ the size and the partitioning of its source.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,27 @@ def _days(column: Column, days: Column | int) -> Column:
     return column + F.make_dt_interval(days.cast("int"))
 
 
+# Column types of the source tables. Reading with a given schema needs no job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,31 +99,29 @@ def order_payments(spark: SparkSession, folder: str) -> DataFrame:
 def order_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """One review for most orders and an older five-star one for some of them.
 
-    Both come out of a single scan: each order yields an array of reviews.
+    Both come out of a single scan: each order yields the kinds of review it has.
     """
     key, total, bought = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate")
+    older = F.col("kind") == "q"
     score = F.when(total < 25000, 1).when(total < 50000, 2).when(total < 200000, 3).when(total < 350000, 4).otherwise(5)
     message = F.element_at(F.array(*map(F.lit, REVIEW_MESSAGES)), (key % 5 + 1).cast("int"))
-
-    def review(suffix: str, stars: Column, days: int) -> Column:
-        created = _days(bought, days)
-        return F.struct(
-            F.concat(F.lit(suffix), key.cast("string")).alias("review_id"),
+    usual = F.when(key % 17 != 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>"))
+    kinds = F.when(key % 23 == 0, F.concat(usual, F.array(F.lit("q")))).otherwise(usual)
+    created = F.col("review_creation_date")
+    return (
+        read_table(spark, folder, "orders")
+        .select("*", F.explode(kinds).alias("kind"))
+        .withColumn("review_creation_date", _days(bought, F.when(older, 40).otherwise(45)))
+        .select(
+            F.concat("kind", key.cast("string")).alias("review_id"),
             key.alias("order_id"),
-            stars.cast("int").alias("review_score"),
+            F.when(older, 5).otherwise(score).alias("review_score"),
             F.lit(None).cast("string").alias("review_comment_title"),
             message.alias("review_comment_message"),
-            created.alias("review_creation_date"),
+            created,
             _days(created, key % 5).alias("review_answer_timestamp"),
         )
-
-    reviews = F.array_compact(
-        F.array(
-            F.when(key % 17 != 0, review("r", score, 45)),
-            F.when(key % 23 == 0, review("q", F.lit(5), 40)),
-        )
     )
-    return read_table(spark, folder, "orders").select(F.inline(reviews))
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +154,28 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     return _located(spark, folder, "customer", "c_custkey", "customer")
 
 
-def load_star(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+READERS = {r.__name__: r for r in (orders, order_items, order_payments, order_reviews, products, sellers, customers)}
+
+
+class StarTables(Mapping):
+    """The derived tables by name, each defined when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self._folder = spark, folder
+        self._known: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._known:
+            self._known[name] = READERS[name](self._spark, self._folder)
+        return self._known[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(READERS)
+
+    def __len__(self) -> int:
+        return len(READERS)
+
+
+def load_star(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
     """All derived tables, lazily."""
-    readers = (orders, order_items, order_payments, order_reviews, products, sellers, customers)
-    return {reader.__name__: reader(spark, folder) for reader in readers}
+    return StarTables(spark, folder)
