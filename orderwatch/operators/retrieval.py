@@ -238,16 +238,20 @@ def search(
     candidates = hits.filter(typed).join(near(rarest), "phrase").select("query_id", "chunk_id", "n_phrases")
     wanted = candidates.join(near(asked.select("query_id", "phrase", "repeats", "idf")), "query_id")
     full = wanted.join(hits, ["chunk_id", "phrase"]).groupBy("query_id", "chunk_id", "n_phrases").agg(*scores)
-    answered = best(full.filter("n_matched = n_phrases"), "all")
+    full = full.filter("n_matched = n_phrases and score >= 0")
+    answered = best(full, "all")
     if not fallback:
         return answered
 
     several = queries.select("query_id", n_words.alias("n_words")).filter("n_words > 1")
-    open_queries = several.join(answered.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    served = full.select("query_id").distinct()
+    open_queries = several.join(served, "query_id", "left_anti").select("query_id")
     partial = hits.filter(typed).join(near(asked.join(open_queries, "query_id", "left_semi")), "phrase")
-    answered = answered.unionByName(best(partial.groupBy("query_id", "chunk_id").agg(*scores), "any"))
-    rest = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-    return answered.unionByName(_containing(chunks, rest, _seed_shapes(queries), top_k, content_type))
+    partial = partial.groupBy("query_id", "chunk_id").agg(*scores).filter("n_matched > 0 and score >= 0")
+    served = served.unionByName(partial.select("query_id").distinct())
+    rest = queries.join(served, "query_id", "left_anti")
+    literal = _containing(chunks, rest, _seed_shapes(queries), top_k, content_type)
+    return answered.unionByName(best(partial, "any")).unionByName(literal)
 
 
 def substring_search(chunks: DataFrame, queries: DataFrame, top_k: int = 5, content_type: str | None = None) -> DataFrame:
