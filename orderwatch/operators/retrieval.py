@@ -9,13 +9,12 @@ the text and never the full token stream.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
-
 # Okapi BM25 parameters and the lowest weight of a very common term.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 SUBSTRING_SCORE = 999.0
@@ -29,6 +28,7 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 # Phrases of a query batch up to this many are joined by broadcast (each is a
 # word of a query); larger batches go through the distinct vocabulary.
 MAX_BROADCAST_PHRASES = 50_000
+MAX_BROADCAST_BYTES = 16 << 20
 # Places and phrases meet on their first characters, at most this many.
 KEY_CHARS = 4
 
@@ -96,6 +96,27 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "phrase", "n_parts").agg(F.count(F.lit(1)).alias("repeats"))
 
 
+@dataclass(frozen=True)
+class PhraseShape:
+    """What the plan of a search has to know about its phrases."""
+
+    small: bool  # few and short enough to broadcast
+    sizes: tuple[int, ...]  # lengths of their first KEY_CHARS characters
+    n_parts: int  # tokens of the longest phrase
+
+
+def phrase_shape(phrases: DataFrame, max_broadcast: int = MAX_BROADCAST_PHRASES) -> PhraseShape:
+    """One job over the query batch; returns a handful of numbers."""
+    row = phrases.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.octet_length("phrase")).alias("bytes"),
+        F.array_sort(F.collect_set(F.least(F.length("phrase"), F.lit(KEY_CHARS)))).alias("sizes"),
+        F.max("n_parts").alias("n_parts"),
+    ).first()
+    small = row["n"] <= max_broadcast and (row["bytes"] or 0) <= MAX_BROADCAST_BYTES
+    return PhraseShape(small, tuple(n for n in row["sizes"] if n > 0) or (KEY_CHARS,), max(row["n_parts"] or 1, 1))
+
+
 def _places(chunks: DataFrame, weights: Mapping[str, float], columns: Sequence[str], n_parts: int, keep: Sequence[str]) -> DataFrame:
     """One row per token place: the next ``n_parts`` tokens and the weight."""
     rows = _indexed(chunks).select(
@@ -141,6 +162,7 @@ def phrase_hits(
     columns: Sequence[str] = INDEXED,
     keep: Sequence[str] = (),
     max_broadcast: int = MAX_BROADCAST_PHRASES,
+    shape: PhraseShape | None = None,
 ) -> DataFrame:
     """Weighted frequency of each needed phrase in each chunk that has it.
 
@@ -150,26 +172,22 @@ def phrase_hits(
     against the distinct places first, and their counts are joined with the
     result.
     """
-    needed = phrases.filter("phrase != ''").select("phrase", "n_parts").distinct()
-    key = F.substring("phrase", 1, KEY_CHARS)
-    shape = needed.agg(
-        F.array_sort(F.collect_set(F.length(key))).alias("sizes"), F.max("n_parts").alias("n_parts")
-    ).first()
-    sizes = shape["sizes"] or [KEY_CHARS]
-    needed = needed.select("phrase", key.alias("key"))
-    places = _places(chunks, weights, columns, shape["n_parts"] or 1, keep)
+    shape = shape or phrase_shape(phrases, max_broadcast)
+    needed = phrases.filter("phrase != ''").select("phrase").distinct()
+    needed = needed.withColumn("key", F.substring("phrase", 1, KEY_CHARS))
+    places = _places(chunks, weights, columns, shape.n_parts, keep)
     about = ("n_tokens", *keep)
     same = [F.any_value(c).alias(c) for c in about]  # one value per chunk
     whole = F.startswith("place", "phrase")
-    if fits_broadcast(needed, max_broadcast):
+    if shape.small:
         found = places.select(
-            "chunk_id", *about, "weight", "place", F.explode(_keys(F.col("place"), sizes)).alias("key")
+            "chunk_id", *about, "weight", "place", F.explode(_keys(F.col("place"), shape.sizes)).alias("key")
         )
         found = found.join(F.broadcast(needed), "key").filter(whole)
         return found.groupBy("chunk_id", "phrase").agg(F.sum("weight").alias("tf"), *same)
     counted = places.groupBy("chunk_id", "place").agg(F.sum("weight").alias("tf"), *same)
     known = places.select("place").distinct()
-    matched = known.select("place", F.explode(_keys(F.col("place"), sizes)).alias("key"))
+    matched = known.select("place", F.explode(_keys(F.col("place"), shape.sizes)).alias("key"))
     matched = matched.join(needed, "key").filter(whole).select("place", "phrase")
     return counted.join(matched, "place").groupBy("chunk_id", "phrase").agg(F.sum("tf").alias("tf"), *same)
 
@@ -199,13 +217,13 @@ def search(
     """
     n_words = F.size(F.filter(F.split("query", r"\s+"), lambda w: w != ""))
     phrases = query_phrases(queries)
-    small = fits_broadcast(phrases, max_broadcast)
+    shape = phrase_shape(phrases, max_broadcast)
 
     def near(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else df  # at most one row per phrase of a query
+        return F.broadcast(df) if shape.small else df  # at most one row per phrase of a query
 
     keep = ("content_type",) if content_type else ()
-    hits = phrase_hits(chunks, phrases, weights, columns, keep, max_broadcast)
+    hits = phrase_hits(chunks, phrases, weights, columns, keep, max_broadcast, shape)
     # every use reads tf and n_tokens, so that Spark computes the hits once
     hits = hits.filter((F.col("tf") >= 0) & (F.col("n_tokens") >= 0))
 

@@ -1,11 +1,10 @@
-"""Spark session settings and the two run-time helpers the operators share."""
+"""Spark session settings and the checkpoint helper."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Engine settings the operators were planned for. Partition counts and memory
 # are left to the cluster: AQE coalesces small shuffles and splits skewed joins.
@@ -43,13 +42,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="orderwatch-checkpoint-"))
     return df.checkpoint()
-
-
-def fits_broadcast(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
-    """Whether ``df`` is proven to stay below a row and a byte bound.
-
-    Reads at most ``max_rows + 1`` rows, and only to count them.
-    """
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
-    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
-    return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
