@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert, quality_rules, token_index
+from . import bpe, byte_cnn, hilbert, quality_model, quality_rules, token_index
 from .shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,16 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, folder, "documents"), TOKENIZER), TOKENIZER))
 
 
+def op3_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, _table(spark, folder, "labels")))
+
+
+def op4_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return byte_cnn.predict(docs, byte_cnn.fit(docs))
+
+
 def op8_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     rows = hilbert.shard(_table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
@@ -36,5 +46,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.COUNTS, "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op8_hilbert, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op8_hilbert, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
