@@ -27,6 +27,7 @@ component; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,7 @@ FREQUENT_SHARE = 2000
 MAX_FREQUENT = 1 << 18
 CLASS_TOKENS = 16
 HUB_ROUNDS = 4
+PAIRS_PER_MEMBER = 64
 COUNTED_TOKENS = 1 << 22
 FILTER_BITS = 1 << 23
 
@@ -77,62 +79,64 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     return np.unique(np.concatenate(found))
 
 
-def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Tokens of many sets, at most MAX_FREQUENT.
+def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, key) of each row, and the tokens of many sets, at most MAX_FREQUENT.
 
-    A token in a given share of all sets has that share in some part of the table at
-    least; parts report tokens above it, counted once for equal sets.
+    ``key`` is a 128-bit hash that equal sets share. A token in a given share of all
+    sets has that share in some part of the table at least; parts report tokens above
+    it, counted once for equal sets.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sets, size, seen = [], 0, 0, set()
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, size, seen = ["doc_id", "n", "key", "token", "sets"], [], 0, set()
 
         def report() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            many = n >= max(3, sets // FREQUENT_SHARE)
-            return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["token", "n"])
+            many = n >= max(3, len(held) // FREQUENT_SHARE)
+            columns = [pa.array(token[many].view(np.int64)), pa.array(n[many].astype(np.int64))]
+            none = [pa.nulls(len(columns[0]), kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, *columns], names)
 
         for batch in batches:
+            sizes, keys = [], []
             for text in rows_of(batch, "text"):
                 tokens = shingle_set(word_hashes(text), words)
-                key = hash(tokens.tobytes())
-                if key in seen or not len(tokens):
-                    continue
-                seen.add(key)
-                held.append(tokens)
-                sets, size = sets + 1, size + len(tokens)
-                if size > COUNTED_TOKENS:
-                    yield report()
-                    held, sets, size, seen = [], 0, 0, set()
+                sizes.append(len(tokens))
+                keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
+                if len(tokens) and keys[-1] not in seen:
+                    seen.add(keys[-1])
+                    held.append(tokens)
+                    size += len(tokens)
+                    if size > COUNTED_TOKENS:
+                        yield report()
+                        held, size, seen = [], 0, set()
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(sizes), pa.int64())] * 2], names)
         if held:
             yield report()
 
-    counts = docs.select(whole_text()).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.filter("n >= 8").orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").collect()
-    return np.sort(np.array([r.token for r in rows], np.int64).view(np.uint64))
+    found = stored(docs.select("doc_id", whole_text()).mapInArrow(survey, "doc_id long, n long, key binary, token long, sets long"), "survey")
+    often = found.filter("token is not null").groupBy("token").agg(F.sum("sets").alias("sets")).filter("sets >= 8")
+    often = often.orderBy(F.desc("sets"), "token").limit(MAX_FREQUENT).select("token").collect()
+    return found.filter("token is null").select("doc_id", "n", "key"), np.sort(np.array([r.token for r in often], np.int64).view(np.uint64))
 
 
-def _indexed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, key, entries): a set's size, a 128-bit key for equal sets, and its index entries."""
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+def _entries(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(entry, doc_id) for the index entries of each row."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                sizes, keys, entries = [], [], []
-                for text in rows_of(part, "text"):
-                    tokens = shingle_set(word_hashes(text), words)
-                    sizes.append(len(tokens))
-                    keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                    entries.append(signatures(tokens, frequent.value, percent).view(np.int64))
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(entries, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "entries"])
+                found = [signatures(shingle_set(word_hashes(t), words), known.value, percent).view(np.int64) for t in rows_of(part, "text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "entries"])
 
-    return stored(docs.select("doc_id", whole_text()).mapInArrow(index, "doc_id long, n long, key binary, entries array<long>"), "sets")
+    rows = docs.filter("doc_id is not null").select("doc_id", whole_text()).mapInArrow(index, "doc_id long, entries array<long>")
+    return stored(rows, "index").select(F.explode("entries").alias("entry"), "doc_id")
 
 
-def _needed_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, tokens) of the wanted documents and a few others.
+def _needed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, packed) of the wanted documents and a few others: their texts, compressed.
 
     A bit field of fixed size over the ids' hashes spares the rest; the exact choice is
     left to the joins that follow.
@@ -144,33 +148,42 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         bits[row.at] = row.bits
     field = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.column("place").to_numpy(zero_copy_only=False)
             wanted = np.flatnonzero((field.value[place // 64] >> (place % 64)) & 1)
             for at in range(0, len(wanted), 256):
                 part = batch.take(pa.array(wanted[at : at + 256]))
-                tokens = [shingle_set(word_hashes(t), words).tobytes() for t in rows_of(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(tokens, pa.binary())], ["node", "tokens"])
+                packed = [zlib.compress(t.encode(), 1) for t in rows_of(part, "text")]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), whole_text())
-    return rows.withColumn("place", bit).mapInArrow(sets, "node long, tokens binary")
+    return rows.withColumn("place", bit).mapInArrow(texts, "node long, packed binary")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough, compared exactly."""
-    sets = stored(_needed_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words), "tokens")
+    texts = _needed_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lately: dict[bytes, np.ndarray] = {}
+
+        def tokens(packed: bytes) -> np.ndarray:
+            if packed not in lately:
+                if len(lately) >= 32:
+                    lately.clear()
+                lately[packed] = shingle_set(word_hashes(zlib.decompress(packed).decode()), words)
+            return lately[packed]
+
         for batch in batches:
             linked = []
             for x, y in zip(rows_of(batch, "x"), rows_of(batch, "y")):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = tokens(x), tokens(y)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    left, right = (sets.select(F.col("node").alias(n), F.col("tokens").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+    left, right = (texts.select(F.col("node").alias(n), F.col("packed").alias(t)) for n, t in (("a", "x"), ("b", "y")))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -183,44 +196,47 @@ def _pair(frame: DataFrame) -> DataFrame:
     return frame.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _open_buckets(entries: DataFrame, labels: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets that hold more than one component, and these buckets with a hub.
+
+    Of buckets with the same members, told by their number and two 64-bit hashes, one is kept.
+    """
+    state = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("rank"), "node", "n", "component")).alias("hub")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark_{k}") for k in (101, 102)]
+    buckets = state.groupBy("entry").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), hub, *marks)
+    buckets = buckets.filter("low != high").groupBy("size", "mark_101", "mark_102").agg(F.min(F.struct("entry", "hub")).alias("first"))
+    return state, stored(buckets.select("first.entry", "first.hub", "size"), "buckets")
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
-    rows = _indexed(docs, words, percent)
-    classes = stored(
-        rows.filter("key is not null and doc_id is not null")
-        .groupBy("key")
-        .agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.any_value("entries").alias("entries")),
-        "classes",
-    )
-    members = rows.filter("key is not null and doc_id is not null").select("doc_id", "key").join(classes.select("key", "node"), "key")
-    members = stored(members.select("doc_id", "node"), "members")
+    rows, frequent = _survey(docs, words)
+    known = rows.filter("key is not null and doc_id is not null")
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("node"))
+    members = stored(known.join(classes, "key").select("doc_id", "node", "n"), "members")
     # Rows that share an id count as one document.
     same = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("a", "b")
 
-    entries = classes.select(F.explode("entries").alias("entry"), "node", "n")
-    buckets = entries.groupBy("entry").agg(F.count("*").alias("size")).filter("size > 1")
-    entries = stored(entries.join(buckets.select("entry"), "entry"), "entries")
+    entries = _entries(docs, frequent, words, percent)
+    buckets = entries.groupBy("entry").agg(F.count("*").alias("size")).filter("size > 1").select("entry")
+    entries = entries.join(buckets, "entry").join(members, "doc_id").select("entry", "node", "n").distinct()
+    entries = stored(entries, "entries")
     compared, linked = None, same
     labels = components(linked)
     for round_ in range(HUB_ROUNDS + 1):
-        # Buckets whose members are not yet of one component, with their members.
-        state = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rank = F.struct(F.xxhash64("node", F.lit(round_)).alias("rank"), "node", "n", "component")
-        spread = state.groupBy("entry").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.min(rank).alias("hub"))
-        spread = spread.filter("low != high").select("entry", "hub", "size")
-        spread = stored(spread, "buckets")
-        found = spread.agg(F.count("*").alias("buckets"), F.sum("size").alias("members"), F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("pairs")).first()
-        if not found.buckets:
+        state, open_ = _open_buckets(entries, labels, round_)
+        found = open_.agg(F.count("*").alias("n"), F.sum("size").alias("members"), F.sum(F.expr("size * (size - 1) div 2")).alias("pairs")).first()
+        if not found.n:
             break
-        open_ = state.join(spread, "entry")
-        last = round_ == HUB_ROUNDS or found.pairs <= 4 * found.members
+        last = round_ == HUB_ROUNDS or round_ > 0 and found.pairs <= PAIRS_PER_MEMBER * found.members
+        state = state.join(open_, "entry")
         if last:
-            other = state.join(spread.select("entry"), "entry").select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = open_.select("entry", F.col("node").alias("a"), "n", "component").join(other, "entry").filter("a < b and component != c_b").filter(_near(percent, "n", "n_b"))
+            other = state.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+            pairs = state.select("entry", F.col("node").alias("a"), "n", "component").join(other, "entry").filter("a < b")
         else:
-            pairs = open_.select(F.col("node").alias("a"), "n", "component", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("c_b"))
-            pairs = pairs.filter("component != c_b").filter(_near(percent, "n", "n_b"))
-        pairs = _pair(pairs)
+            pairs = state.select(F.col("node").alias("a"), "n", "component", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("c_b"))
+        pairs = _pair(pairs.filter("component != c_b").filter(_near(percent, "n", "n_b")))
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
