@@ -16,8 +16,9 @@ frequent changes the work only, never the result.
 Equal sets are collapsed first. In an index bucket the members are first compared with one
 hub; members of one component need no further comparison, so a large group of near copies
 takes a few comparisons a member and not all pairs. Further rounds take other hubs; at last
-all pairs whose components still differ are compared. Every comparison is exact (up to
-64-bit hashes), and no pair that may link is left out.
+all pairs whose components still differ are compared. Before texts are moved, counts of
+tokens by cell of the hash space rule out pairs that cannot be similar. Every comparison
+is exact (up to 64-bit hashes), and no pair that may link is left out.
 
 Defined results: NULL, empty and blank texts have an empty set and link with nothing; rows
 that share a doc_id count as one document and are linked; a NULL doc_id has a NULL
@@ -42,7 +43,7 @@ WORDS = 4
 PERCENT = 85
 FREQUENT_SHARE = 2000
 MAX_FREQUENT = 1 << 18
-CLASS_TOKENS = 16
+CLASS_TOKENS = 1
 HUB_ROUNDS = 4
 PAIRS_PER_MEMBER = 64
 COUNTED_TOKENS = 1 << 22
@@ -121,18 +122,55 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     return found.filter("token is null").select("doc_id", "n", "key"), np.sort(np.array([r.token for r in often], np.int64).view(np.uint64))
 
 
-def _entries(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(entry, doc_id) for the index entries of each row."""
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Tokens in each of 2**k cells of the hash space; k follows the size."""
+    cells = 1 << max(4, len(tokens).bit_length() - 1)
+    return np.minimum(np.bincount((tokens % np.uint64(cells)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def possible(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets with these sketches may be similar: in each cell they share the smaller count at most."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    if x.max() == 255 or y.max() == 255:
+        return True
+    sizes = x.sum() + y.sum()
+    while len(x) > len(y):
+        x = x.reshape(2, -1).sum(0)
+    while len(y) > len(x):
+        y = y.reshape(2, -1).sum(0)
+    shared = np.minimum(x, y).sum()
+    return bool(100 * shared >= percent * (sizes - shared))
+
+
+def _index(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(doc_id, entries, sketch) for each row."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                found = [signatures(shingle_set(word_hashes(t), words), known.value, percent).view(np.int64) for t in rows_of(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "entries"])
+                entries, sketches = [], []
+                for text in rows_of(part, "text"):
+                    tokens = shingle_set(word_hashes(text), words)
+                    entries.append(signatures(tokens, known.value, percent).view(np.int64))
+                    sketches.append(zlib.compress(sketch(tokens).tobytes(), 1))
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "entries", "sketch"])
+
+    rows = docs.filter("doc_id is not null").select("doc_id", whole_text())
+    return stored(rows.mapInArrow(index, "doc_id long, entries array<long>, sketch binary"), "index")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not rule them out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(zlib.decompress(v), np.uint8) for v in rows_of(batch, c)] for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array([possible(p, q, percent) for p, q in zip(x, y)], pa.bool_()))
 
-    rows = docs.filter("doc_id is not null").select("doc_id", whole_text()).mapInArrow(index, "doc_id long, entries array<long>")
-    return stored(rows, "index").select(F.explode("entries").alias("entry"), "doc_id")
+    left, right = (sketches.select(F.col("doc_id").alias(n), F.col("sketch").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long").distinct()
 
 
 def _needed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -218,7 +256,8 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     # Rows that share an id count as one document.
     same = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("a", "b")
 
-    entries = _entries(docs, frequent, words, percent)
+    index = _index(docs, frequent, words, percent)
+    entries = index.select(F.explode("entries").alias("entry"), "doc_id")
     buckets = entries.groupBy("entry").agg(F.count("*").alias("size")).filter("size > 1").select("entry")
     entries = entries.join(buckets, "entry").join(members, "doc_id").select("entry", "node", "n").distinct()
     entries = stored(entries, "entries")
@@ -241,6 +280,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         compared = pairs if compared is None else compared.union(pairs)
+        pairs = stored(_possible(pairs, index, percent), "possible")
         linked = linked.union(stored(_links(pairs, docs, words, percent), "links"))
         labels = components(linked)
         if last:
