@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _word_hashes, fold, pieces, rows_of, whole_text
+from .shared import fold, pieces, rows_of, whole_text, word_places
 
 BUCKET_BITS = 16
 DIM = 16
@@ -46,7 +46,7 @@ def features(text: str) -> Iterator[np.ndarray]:
     data = text.encode()
     before = np.zeros(0, np.uint64)
     for piece in pieces(data, SLICE_BYTES):
-        words = _word_hashes(piece)
+        words = word_places(piece)[1]
         yield (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         run, before = np.concatenate([before, words]), words[-1:] if len(words) else before
         yield SHAPES[(run[1:] == run[:-1]).astype(np.int64)]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, hilbert, ngram_join, quality_model, quality_rules, token_index
+from . import bpe, byte_cnn, decontaminate, hilbert, lm, ngram_join, quality_model, quality_rules, token_index
 from .shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,10 @@ def op4_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.predict(docs, byte_cnn.fit(docs))
 
 
+def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_table(spark, folder, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link(_table(spark, folder, "documents"))
 
@@ -45,10 +49,14 @@ def op8_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.judge(_table(spark, folder, "documents"))
     return rows.select("doc_id", *quality_rules.COUNTS, "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op7_ngram_join, op8_hilbert, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op5_lm, op7_ngram_join, op8_hilbert, op9_decontaminate, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

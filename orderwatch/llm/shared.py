@@ -81,14 +81,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _word_hashes(data: bytes) -> np.ndarray:
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and 64-bit hashes of the words of a byte string."""
     codes = np.frombuffer(data, np.uint8)
     edge = np.diff(_IS_WORD[codes], prepend=np.int8(0), append=np.int8(0))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _power_tables(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=total[1:])
-    return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(STEP))
+    return first, mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(STEP))
 
 
 def pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
@@ -104,6 +105,11 @@ def pieces(data: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
     yield data[at:]
 
 
+def lower(text: str) -> bytes:
+    """A text's bytes with A-Z lower-cased."""
+    return text.encode().translate(_LOWER)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text, in order.
 
@@ -112,7 +118,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     """
     if not text:
         return np.zeros(0, np.uint64)
-    parts = [_word_hashes(p) for p in pieces(text.encode().translate(_LOWER))]
+    parts = [word_places(p)[1] for p in pieces(lower(text))]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
