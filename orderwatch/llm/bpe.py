@@ -280,10 +280,11 @@ def decode(ids: DataFrame, tokenizer: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(texts, f"doc_id {key}, ids binary, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Counts and SHA-256 of ids and decoded text."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """Counts and SHA-256 of ids and decoded text, after ``more`` columns."""
     return decoded.select(
         "doc_id",
+        *more,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),

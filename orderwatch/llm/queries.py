@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, decontaminate, hilbert, lm, ngram_join, quality_model, quality_rules, token_index
+from . import bpe, byte_cnn, decontaminate, hilbert, license_rules, lm, ngram_join, quality_model, quality_rules, token_index
 from .shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,10 @@ def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(_table(spark, folder, "documents"))
 
 
+def op6_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return license_rules.recognise(_table(spark, folder, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link(_table(spark, folder, "documents"))
 
@@ -58,5 +62,29 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.COUNTS, "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op5_lm, op7_ngram_join, op8_hilbert, op9_decontaminate, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op5_lm, op6_license_rules, op7_ngram_join, op8_hilbert, op9_decontaminate, op10_quality_rules)}
+
+
+def _license_sql() -> str:
+    sentences = ", ".join(f"('{name}', '{sentence}')" for name, sentence in license_rules.SENTENCES.items())
+    seen, tests = "seen", []
+    for name, licence, names in license_rules.RULES:
+        run = "".join(f" {n} " for n in names)
+        tests.append((name, licence, f"contains({seen}, '{run}')"))
+        seen = f"replace({seen}, '{run}', '#')"
+    rules = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, _, test in tests)
+    licences = ", ".join(f"CASE WHEN {test} THEN '{licence}' END" for _, licence, test in tests)
+    return f"""
+        WITH known(name, sentence) AS (VALUES {sentences}),
+        cut AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS place
+                FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?;:]+[ \t\r\n]+|[.!?;:]+$|\n+') AS parts FROM documents)),
+        plain AS (SELECT doc_id, place, regexp_replace(trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')), '^copyright .*$', 'copyright') AS sentence FROM cut),
+        found AS (SELECT doc_id, string_agg(name, '  ' ORDER BY place) AS names, count(*) AS n FROM plain JOIN known USING (sentence) GROUP BY doc_id),
+        every AS (SELECT d.doc_id, coalesce(n, 0) AS n_known, coalesce(' ' || names || ' ', '') AS seen FROM documents d LEFT JOIN found USING (doc_id))
+        SELECT doc_id, n_known, replace(trim(seen), '  ', ',') AS sentences,
+               array_to_string(list_filter([{rules}], lambda x: x IS NOT NULL), ',') AS rules,
+               array_to_string(list_sort(list_distinct(list_filter([{licences}], lambda x: x IS NOT NULL))), ',') AS licences
+        FROM every"""
+
+
+ORACLES: dict[str, str] = {"op6_license_rules": _license_sql()}
