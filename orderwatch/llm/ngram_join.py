@@ -16,8 +16,8 @@ frequent changes the work only, never the result.
 Equal sets are collapsed first. In an index bucket the members are first compared with one
 hub; members of one component need no further comparison, so a large group of near copies
 takes a few comparisons a member and not all pairs. Further rounds take other hubs; at last
-all pairs whose components still differ are compared. Before texts are moved, counts of
-tokens by cell of the hash space rule out pairs that cannot be similar. Every comparison
+all pairs whose components still differ are compared. Before texts are moved, parities and
+counts of tokens by cell of the hash space rule out pairs that cannot be similar. Every comparison
 is exact (up to 64-bit hashes), and no pair that may link is left out.
 
 Defined results: NULL, empty and blank texts have an empty set and link with nothing; rows
@@ -44,8 +44,9 @@ PERCENT = 85
 FREQUENT_SHARE = 2000
 MAX_FREQUENT = 1 << 18
 CLASS_TOKENS = 1
-HUB_ROUNDS = 4
-PAIRS_PER_MEMBER = 64
+HUB_ROUNDS = 2
+HUB_PART = 8
+PARITY_WORDS = 8
 COUNTED_TOKENS = 1 << 22
 FILTER_BITS = 1 << 23
 
@@ -142,23 +143,32 @@ def possible(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return bool(100 * shared >= percent * (sizes - shared))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """For each of 64 * PARITY_WORDS cells of the hash space whether it holds an odd number of tokens."""
+    cells = (mix(tokens) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=64 * PARITY_WORDS).astype(np.uint8) & 1).tobytes()
+
+
 def _index(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, entries, sketch) for each row."""
+    """(doc_id, entries, sketch, p0, p1, ...) for each row; the last are the parity words."""
+    names = [f"p{k}" for k in range(PARITY_WORDS)]
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                entries, sketches = [], []
+                entries, sketches, parities = [], [], []
                 for text in rows_of(part, "text"):
                     tokens = shingle_set(word_hashes(text), words)
                     entries.append(signatures(tokens, known.value, percent).view(np.int64))
                     sketches.append(zlib.compress(sketch(tokens).tobytes(), 1))
+                    parities.append(parity(tokens))
+                odd = np.frombuffer(b"".join(parities), np.int64).reshape(-1, PARITY_WORDS)
                 columns = [part.column("doc_id").cast(pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "entries", "sketch"])
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(odd[:, k]) for k in range(PARITY_WORDS)]], ["doc_id", "entries", "sketch", *names])
 
     rows = docs.filter("doc_id is not null").select("doc_id", whole_text())
-    return stored(rows.mapInArrow(index, "doc_id long, entries array<long>, sketch binary"), "index")
+    return stored(rows.mapInArrow(index, "doc_id long, entries array<long>, sketch binary, " + ", ".join(f"{n} long" for n in names)), "index")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -247,6 +257,24 @@ def _open_buckets(entries: DataFrame, labels: DataFrame, round_: int) -> tuple[D
     return state, stored(buckets.select("first.entry", "first.hub", "size"), "buckets")
 
 
+def _bucket_pairs(members: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of all pairs of a bucket that sizes and parities allow, each once for a bucket.
+
+    Sets differ by at least one token in each cell whose parity differs.
+    """
+    names = [f"p{k}" for k in range(PARITY_WORDS)]
+    known = index.select(F.col("doc_id").alias("node"), *names).dropDuplicates(["node"])
+    rows = members.select("entry", "node", "n", "component").join(known, "node")
+    other = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
+    sizes = F.col("n") + F.col("n_b")
+    # Shared tokens are (sizes - different) / 2 at most; compared as 100 * shared >= percent * (sizes - shared).
+    fits = (100 + percent) * (sizes - apart) >= 2 * percent * sizes
+    met = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & fits
+    near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    return rows.join(other, (F.col("entry") == F.col("entry_b")) & met & near).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     rows, frequent = _survey(docs, words)
@@ -261,30 +289,25 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     buckets = entries.groupBy("entry").agg(F.count("*").alias("size")).filter("size > 1").select("entry")
     entries = entries.join(buckets, "entry").join(members, "doc_id").select("entry", "node", "n").distinct()
     entries = stored(entries, "entries")
-    compared, linked = None, same
-    labels = components(linked)
+    spark = docs.sparkSession
+    linked, labels = same, spark.createDataFrame([], "node long, component long")
+    if same.limit(1).count():
+        labels = components(linked)
+    compared = spark.createDataFrame([], "a long, b long")
     for round_ in range(HUB_ROUNDS + 1):
-        state, open_ = _open_buckets(entries, labels, round_)
-        found = open_.agg(F.count("*").alias("n"), F.sum("size").alias("members"), F.sum(F.expr("size * (size - 1) div 2")).alias("pairs")).first()
-        if not found.n:
-            break
-        last = round_ == HUB_ROUNDS or round_ > 0 and found.pairs <= PAIRS_PER_MEMBER * found.members
-        state = state.join(open_, "entry")
+        last = round_ == HUB_ROUNDS
+        # Hubs only spare work, so a part of the entries is enough; the last round takes all.
+        state, open_ = _open_buckets(entries if last else entries.filter(F.pmod("entry", F.lit(HUB_PART)) == 0), labels, round_)
         if last:
-            other = state.select("entry", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = state.select("entry", F.col("node").alias("a"), "n", "component").join(other, "entry").filter("a < b")
+            pairs = _bucket_pairs(state.join(open_.select("entry"), "entry"), index, percent)
         else:
-            pairs = state.select(F.col("node").alias("a"), "n", "component", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("c_b"))
-        pairs = _pair(pairs.filter("component != c_b").filter(_near(percent, "n", "n_b")))
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        compared = pairs if compared is None else compared.union(pairs)
+            pairs = state.join(open_, "entry").select(F.col("node").alias("a"), "n", "component", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("c_b"))
+            pairs = pairs.filter("component != c_b").filter(_near(percent, "n", "n_b"))
+        pairs = stored(_pair(pairs).join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.union(pairs)
         pairs = stored(_possible(pairs, index, percent), "possible")
         linked = linked.union(stored(_links(pairs, docs, words, percent), "links"))
         labels = components(linked)
-        if last:
-            break
 
     ids = members.groupBy("doc_id").agg(F.min("node").alias("node")).join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
