@@ -13,8 +13,8 @@ number of classes grows with the set's size in steps of two, and a set is indexe
 step a partner can have, so the index grows in proportion to the text. What is called
 frequent changes the work only, never the result.
 
-Equal sets are collapsed first. In an index bucket the members are first compared with one
-hub; members of one component need no further comparison, so a large group of near copies
+Equal sets are collapsed first. In an index bucket the members are first compared with a few
+hubs; members of one component need no further comparison, so a large group of near copies
 takes a few comparisons a member and not all pairs. Further rounds take other hubs; at last
 all pairs whose components still differ are compared. Before texts are moved, parities and
 counts of tokens by cell of the hash space rule out pairs that cannot be similar. Every comparison
@@ -44,9 +44,10 @@ PERCENT = 85
 FREQUENT_SHARE = 2000
 MAX_FREQUENT = 1 << 18
 CLASS_TOKENS = 1
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
+HUBS = 4
 HUB_PART = 8
-PARITY_WORDS = 8
+PARITY_WORDS = 16
 COUNTED_TOKENS = 1 << 22
 FILTER_BITS = 1 << 23
 
@@ -245,16 +246,17 @@ def _pair(frame: DataFrame) -> DataFrame:
 
 
 def _open_buckets(entries: DataFrame, labels: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
-    """Members of the buckets that hold more than one component, and these buckets with a hub.
+    """Members of the buckets that hold more than one component, and these buckets with a few hubs.
 
     Of buckets with the same members, told by their number and two 64-bit hashes, one is kept.
     """
     state = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    hub = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("rank"), "node", "n", "component")).alias("hub")
+    seeds = [F.lit(HUBS * round_ + k) for k in range(HUBS)]
+    hubs = F.array(*[F.min(F.struct(F.xxhash64("node", seed).alias("rank"), "node", "n", "component")) for seed in seeds]).alias("hubs")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark_{k}") for k in (101, 102)]
-    buckets = state.groupBy("entry").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), hub, *marks)
-    buckets = buckets.filter("low != high").groupBy("size", "mark_101", "mark_102").agg(F.min(F.struct("entry", "hub")).alias("first"))
-    return state, stored(buckets.select("first.entry", "first.hub", "size"), "buckets")
+    buckets = state.groupBy("entry").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), hubs, *marks)
+    buckets = buckets.filter("low != high").groupBy("size", "mark_101", "mark_102").agg(F.min(F.struct("entry", "hubs")).alias("first"))
+    return state, stored(buckets.select("first.entry", F.array_distinct("first.hubs").alias("hubs")), "buckets")
 
 
 def _bucket_pairs(members: DataFrame, index: DataFrame, percent: int) -> DataFrame:
@@ -301,7 +303,8 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         if last:
             pairs = _bucket_pairs(state.join(open_.select("entry"), "entry"), index, percent)
         else:
-            pairs = state.join(open_, "entry").select(F.col("node").alias("a"), "n", "component", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("c_b"))
+            met = state.join(open_, "entry").select("node", "n", "component", F.explode("hubs").alias("hub"))
+            pairs = met.select(F.col("node").alias("a"), "n", "component", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("c_b"))
             pairs = pairs.filter("component != c_b").filter(_near(percent, "n", "n_b"))
         pairs = stored(_pair(pairs).join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = compared.union(pairs)
