@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import rows_of, whole_text
+from .shared import rows_of, text_batches, whole_text
 
 LEAF_CHARS = 4096
 SPAN_CHARS = 32768
 FIRST_WINDOW = 4
-KEPT_UNITS = 250_000
+KEPT_UNITS = 100_000
 
 # White space of the pre-tokenizer's pattern, and the byte-level pattern itself (fixed values).
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -226,6 +226,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     Texts up to SPAN_CHARS stay in their task. Longer ones are cut, their parts
     dealt to all tasks, and each text's parts meet again to be joined.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", whole_text())
     long = F.length("text") > SPAN_CHARS
     key = docs.schema["doc_id"].dataType.simpleString()

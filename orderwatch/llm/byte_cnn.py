@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, rows_of, whole_text
+from .shared import fold, rows_of, text_batches, whole_text
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) -> Ne
 
 def predict(docs: DataFrame, net: Net | None, *, carry: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row; with ``carry`` the row itself is the struct ``doc``."""
+    text_batches(docs.sparkSession)
     judged = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     tables = net.tables() if net else None
 
@@ -189,12 +191,14 @@ def predict(docs: DataFrame, net: Net | None, *, carry: bool = False) -> DataFra
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                langs, scores = of(zip(rows_of(part, "text"), rows_of(part, "judged")))
+                texts = (v.as_py() for v in pc.struct_field(part.column("doc"), "text")) if carry else rows_of(part, "text")
+                langs, scores = of(zip(texts, rows_of(part, "judged")))
                 kept = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] not in ("text", "judged")]
                 names = [n for n in part.schema.names if n not in ("text", "judged")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(langs), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     first = F.struct("*").alias("doc") if carry else F.col("doc_id")
-    rows = docs.select(first, (fold(4) == 2).alias("held_out"), whole_text(), judged.alias("judged"))
+    text = [] if carry else [whole_text()]
+    rows = docs.select(first, (fold(4) == 2).alias("held_out"), *text, judged.alias("judged"))
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(judge, f"{rows.columns[0]} {kind}, held_out boolean, lang_pred string, score double")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, lower, rows_of, whole_text, word_places
+from .shared import BASE, lower, rows_of, text_batches, whole_text, word_places
 
 REPEATS = 4
 SAMPLES = 8
@@ -265,6 +265,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _marked(rows: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
+    text_batches(rows.sparkSession)
     finder = rows.sparkSession.sparkContext.broadcast(Finder(block))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BASE, STEP, mix, rows_of, shingle_set, stored, whole_text, word_hashes
+from .shared import BASE, STEP, mix, rows_of, shingle_set, stored, text_batches, whole_text, word_hashes
 
 WORDS = 4
 PERCENT = 85
@@ -279,6 +279,7 @@ def _bucket_pairs(members: DataFrame, index: DataFrame, percent: int) -> DataFra
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
+    text_batches(docs.sparkSession)
     rows, frequent = _survey(docs, words)
     known = rows.filter("key is not null and doc_id is not null")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("node"))

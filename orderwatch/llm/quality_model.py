@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, pieces, rows_of, whole_text, word_places
+from .shared import fold, pieces, rows_of, text_batches, whole_text, word_places
 
 BUCKET_BITS = 16
 DIM = 16
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row, from the whole text."""
+    text_batches(docs.sparkSession)
     gain, base = model.gain, model.base
 
     def chance(text: str) -> float:

@@ -42,6 +42,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand texts to Python in small batches: Spark's default of 10,000 rows is made for short values.
+
+    The setting stays with the session; a smaller one is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later jobs start from the files."""
     path = new_path(df.sparkSession, name)

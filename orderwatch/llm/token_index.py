@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import coder
-from .shared import mix, rows_of, whole_text
+from .shared import mix, rows_of, text_batches, whole_text
 
 SHARD_IDS = 1 << 20
 NULL_KEY = -(2**63)
@@ -127,6 +127,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     The order comes from a range partitioning; a task writes its documents as it
     meets them and holds one shard at a time.
     """
+    text_batches(docs.sparkSession)
     schema = None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
