@@ -84,8 +84,8 @@ def content_type(section: Column, text: Column) -> Column:
 
 
 def element_id(source: Column, section: Column, text: Column) -> Column:
-    """Twelve hex digits that stay the same while place and opening do."""
-    return F.substring(F.sha1(F.concat_ws("|", source, section, F.substring(text, 1, 100))), 1, 12)
+    """Twelve hex digits that stay the same while place and text do."""
+    return F.substring(F.sha1(F.concat_ws("|", source, section, text)), 1, 12)
 
 
 def _paths(heads: Column, hierarchical: bool) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 # Okapi BM25 parameters and the lowest weight of a very common term.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 SUBSTRING_SCORE = 999.0
+# More than any number of chunks: the search ranks all that match.
+NO_CUT = 2**31 - 1
 SECTION_BOOST = 0.5
 SEED_CHARS = 12
 
@@ -356,14 +358,15 @@ def retrieve(
     weights: Mapping[str, float] = TEXT_ONLY,
     columns: Sequence[str] = INDEXED,
 ) -> DataFrame:
-    """Search three times ``top_k`` candidates, filter, boost and keep ``top_k``.
+    """Search, filter by type, boost preferred sections and keep ``top_k``.
 
     ``queries`` has query_id, query and optionally include_types and
-    prefer_sections (arrays). The candidates of a query are few; chunk columns
-    are joined to them at the end.
+    prefer_sections (arrays). Filter and boost come before the only cut, so with
+    either of them every matching chunk is ranked; chunk columns are joined to what
+    the search found.
     """
-    found = search(chunks, queries, 3 * top_k, weights=weights, columns=columns)
     wishes = [c for c in ("include_types", "prefer_sections") if c in queries.columns]
+    found = search(chunks, queries, NO_CUT if wishes else top_k, weights=weights, columns=columns)
     if wishes:
         found = found.join(queries.select("query_id", *wishes), "query_id")
     details = chunks.select("chunk_id", "text", "source", "section", "parent_section", "content_type")

@@ -96,11 +96,12 @@ def number_tasks(new: DataFrame, existing: DataFrame | None = None, prefix: str
     numbered = ranked.join(shifts, ["id_day", "id_bucket"])
     number = F.col("id_rank") + F.col("id_shift")
     if existing is not None:
+        # A prefix may hold hyphens: day and number are the last two parts.
         parts = F.split("task_id", "-")
         used = (
             existing.filter(F.col("task_id").startswith(f"{prefix}-"))
-            .groupBy(F.get(parts, F.lit(1)).alias("id_day"))
-            .agg(F.max(F.get(parts, F.lit(2)).try_cast("long")).alias("id_used"))
+            .groupBy(F.try_element_at(parts, F.lit(-2)).alias("id_day"))
+            .agg(F.max(F.try_element_at(parts, F.lit(-1)).try_cast("long")).alias("id_used"))
         )
         numbered = numbered.join(used, "id_day", "left")
         number = number + F.coalesce("id_used", F.lit(0))
@@ -147,9 +148,11 @@ def list_tasks(
     task_type: str | None = None,
     priority: str | None = None,
     assignee: str | None = None,
-    limit: int = 20,
+    limit: int | None = 20,
 ) -> DataFrame:
-    """Newest tasks with the given values; a limit outside 1..100 means 20."""
+    """Newest tasks with the given values; ``limit=None`` means all."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
     keep = []
     if status:
         keep.append(F.col("status") == status)
@@ -159,9 +162,8 @@ def list_tasks(
         keep.append(F.col("priority") == priority)
     if assignee:
         keep.append(F.contains(F.lower("assignee"), F.lit(assignee.lower())))
-    size = limit if 1 <= limit <= 100 else 20
-    rows = reduce(DataFrame.filter, keep, tasks)
-    return rows.orderBy(F.desc("created_at"), F.desc("task_id")).limit(size)
+    rows = reduce(DataFrame.filter, keep, tasks).orderBy(F.desc("created_at"), F.desc("task_id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def open_tasks(tasks: DataFrame) -> DataFrame:

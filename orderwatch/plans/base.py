@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.star import read_table
-
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     """Round averages and sums, whose last bits depend on the order of addition.
@@ -23,17 +21,6 @@ def clock(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-def read_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A text table, spread over the cores if its file has fewer splits.
-
-    A file with one row group is read by one task, whatever its size; at scale
-    a table has more splits than there are cores and is left as it is.
-    """
-    df = read_table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # SQL views of the derived marketplace tables, written independently of the
 # DataFrame code. Each entry may use the ones before it.
 VIEWS = {

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents
-from .base import query_sql, read_texts
+from ..sources.star import read_table
+from .base import query_sql
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     source = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    return read_texts(spark, folder, "documents").select(source.alias("source"), "text")
+    return read_table(spark, folder, "documents").select(source.alias("source"), "text")
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     source = F.concat(F.lit("page/"), F.col("page_id").cast("string"))
-    return read_texts(spark, folder, "pages").select(
+    return read_table(spark, folder, "pages").select(
         source.alias("source"), F.col("html").alias("text"), F.lit("html").alias("format")
     )
 
@@ -154,7 +155,7 @@ def recursive(body: str, **views: str) -> str:
 
 
 DOCUMENT_CHUNKS = element_views(_DOCUMENT_TEXT, "doc", True) | chunk_views("doc", 2000)
-_ID = "substr(sha1(concat_ws('|', source, section, substr(text, 1, 100))), 1, 12) AS element_id"
+_ID = "substr(sha1(concat_ws('|', source, section, text)), 1, 12) AS element_id"
 _CHUNK = "source, section, parent_section, content_type, chunk_id, length(text) AS n_chars, md5(text) AS text_md5"
 
 

@@ -15,20 +15,39 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], TASK_SCHEMA)
 
 
+def parse_task_json(texts: DataFrame) -> DataFrame:
+    """Tasks from files' texts (column ``value``), each a JSON array or one record per line.
+
+    Column ``broken`` counts the records of a file that cannot be parsed or have no id; a file
+    with broken records only gives one row without a task.
+    """
+    is_array = F.ltrim("value").startswith("[")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    listed = F.from_json("value", f"array<struct<{_fields()}>>")
+    single = F.transform(lines, lambda x: F.from_json(x, TASK_SCHEMA))
+    parsed = F.when(is_array, F.coalesce(listed, F.array(F.lit(None)))).otherwise(single)
+    rows = texts.select(parsed.alias("tasks"))
+    good = F.filter("tasks", lambda t: t["task_id"].isNotNull())
+    rows = rows.select(good.alias("good"), (F.size("tasks") - F.size(good)).alias("broken"))
+    return rows.filter("size(good) > 0 or broken > 0").select(F.explode_outer("good").alias("task"), "broken")
+
+
+def _fields() -> str:
+    return ", ".join(f"{name}: {kind}" for name, kind in (f.strip().split(" ", 1) for f in TASK_SCHEMA.split(",")))
+
+
 def read_task_json(spark: SparkSession, path: str) -> DataFrame:
     """Tasks from JSON (an array or one record per line); missing means none.
 
-    Records that cannot be parsed are dropped.
+    Records that cannot be parsed are left out; ``parse_task_json`` counts them.
     """
-    schema = TASK_SCHEMA + ", _broken string"
-    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_broken")
     try:
-        rows = reader.option("multiLine", True).json(path)
+        texts = spark.read.text(path, wholetext=True)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return _empty(spark)
         raise
-    return rows.filter(F.col("task_id").isNotNull() & F.col("_broken").isNull()).select(*TASK_COLUMNS)
+    return parse_task_json(texts).filter("task is not null").select(*[F.col(f"task.{c}").alias(c) for c in TASK_COLUMNS])
 
 
 def write_snapshot(tasks: DataFrame, root: str, version: int) -> None:

@@ -78,7 +78,7 @@ def test_type_from_section(spark):
 def test_element_ids(spark):
     long = "é" * 150
     row = documents.elements(docs(spark, ("src", f"# T\n{long}", "markdown"))).first()
-    assert row.element_id == hashlib.sha1(f"src|T|{'é' * 100}".encode()).hexdigest()[:12]
+    assert row.element_id == hashlib.sha1(f"src|T|{'é' * 150}".encode()).hexdigest()[:12]
 
 
 def test_plain_text_is_one_paragraph(spark):

@@ -124,3 +124,11 @@ def test_task_json(spark, tmp_path):
 def test_report_sink(spark, tmp_path):
     store.write_report({"summary": spark.range(3).select(F.col("id"))}, str(tmp_path), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "summary")).count() == 3
+
+
+def test_json_lines_keep_every_record(spark, tmp_path):
+    lines = "\n".join('{"task_id": "RT-%d", "title": "t"}' % k for k in range(3))
+    (tmp_path / "lines.json").write_text(lines + "\nnot json\n")
+    assert store.read_task_json(spark, str(tmp_path / "lines.json")).count() == 3
+    texts = spark.read.text(str(tmp_path / "lines.json"), wholetext=True)
+    assert {r.broken for r in store.parse_task_json(texts).collect()} == {1}

@@ -89,7 +89,7 @@ def test_lists(spark):
     assert [r.task_id for r in tasks.list_tasks(df).collect()] == ["RT-5", "RT-4", "RT-2", "RT-3", "RT-1"]
     assert [r.task_id for r in tasks.list_tasks(df, assignee="area").collect()] == ["RT-3", "RT-1"]
     assert [r.task_id for r in tasks.list_tasks(df, status="pending", task_type="delivery_risk", priority="P2").collect()] == ["RT-1"]
-    assert tasks.list_tasks(df, limit=2).count() == 2 and tasks.list_tasks(df, limit=0).count() == 5
+    assert tasks.list_tasks(df, limit=2).count() == 2 and tasks.list_tasks(df, limit=None).count() == 5
     assert [r.task_id for r in tasks.open_tasks(df).collect()] == ["RT-2", "RT-1", "RT-4"]
     assert tasks.get_task(df, "RT-2").first().target_id == "b" and tasks.get_task(df, "none").count() == 0
 
