@@ -14,10 +14,10 @@ def with_rows(df, spark, *new):
 @pytest.mark.parametrize(
     ("seller", "orders", "delivered", "canceled", "delay", "late", "cancel", "price", "revenue"),
     [
-        ("A", 3, 3, 0, 2.0, 33.33, 0.0, 216.6667, 650.0),
-        ("B", 2, 2, 0, 9.0, 100.0, 0.0, 89.9, 179.8),
-        ("C", 1, 1, 0, 8.0, 100.0, 0.0, 45.0, 45.0),
-        ("D", 1, 0, 1, None, None, 100.0, 200.0, 200.0),
+        ("S1", 2, 2, 0, 4.0, 100.0, 0.0, 61.0, 122.0),
+        ("S2", 3, 2, 0, -0.5, 50.0, 0.0, 220.0, 660.0),
+        ("S3", 2, 2, 0, 3.5, 50.0, 0.0, 372.5, 745.0),
+        ("S4", 2, 1, 1, -3.0, 0.0, 50.0, 245.0, 490.0),
     ],
 )
 def test_seller_delivery(tables, seller, orders, delivered, canceled, delay, late, cancel, price, revenue):
@@ -30,91 +30,90 @@ def test_seller_delivery(tables, seller, orders, delivered, canceled, delay, lat
 
 def test_review_risk(tables):
     found = rows(marts.review_risk_metrics(tables), "seller_id")
-    assert set(found) == {"A", "B", "C"}
-    a = found["A"]
-    assert (a["reviewed_orders"], a["negative_reviews"], a["positive_reviews"], a["worst_review_score"]) == (3, 1, 2, 1)
-    assert a["avg_review_score"] == pytest.approx(10 / 3) and a["avg_review_response_days"] == 1.0
-    assert (found["B"]["avg_review_score"], found["B"]["negative_review_rate_pct"]) == (1.5, 100.0)
+    assert set(found) == {"S1", "S2", "S3", "S4"}
+    # o2 has two reviews: both count in the averages, the order counts once
+    s1 = found["S1"]
+    assert (s1["reviewed_orders"], s1["negative_reviews"], s1["positive_reviews"], s1["worst_review_score"]) == (2, 1, 1, 2)
+    assert s1["avg_review_score"] == pytest.approx((5 + 3 + 2) / 3) and s1["avg_review_response_days"] == pytest.approx((1 + 0 + 3) / 3)
+    assert (found["S2"]["avg_review_score"], found["S2"]["negative_review_rate_pct"]) == (3.0, 50.0)
+    assert (found["S4"]["avg_review_score"], found["S4"]["negative_review_rate_pct"]) == (5.0, 0.0)
 
 
 def test_orders_enriched(tables):
     found = rows(marts.orders_enriched(tables), "order_id")
-    assert len(found) == 5
-    assert [found[f"ord_00{i}"]["delivery_delay_days"] for i in range(1, 6)] == [-2, 8, -2, None, 10]
-    assert found["ord_002"]["payment_types"] == "credit_card, voucher"
-    assert found["ord_002"]["total_payment"] == pytest.approx(149.9)
-    assert [found[f"ord_00{i}"]["review_score"] for i in range(1, 6)] == [4, 2, 5, None, 1]
+    assert len(found) == 7
+    assert [found[f"o{i}"]["delivery_delay_days"] for i in range(1, 8)] == [0, 8, 16, None, None, -9, -3]
+    assert found["o2"]["payment_types"] == "credit_card, voucher"
+    assert found["o2"]["total_payment"] == pytest.approx(407.3)
+    assert found["o5"]["payment_types"] is None
+    assert [found[f"o{i}"]["review_score"] for i in range(1, 8)] == [5, 2, 1, None, None, 4, 5]
 
 
 def test_latest_review_wins_and_ties_break_by_id(spark, tables):
-    old = tables["order_reviews"].filter("review_id = 'r1'").first().asDict()
+    old = tables["order_reviews"].filter("review_id = 'v1'").first().asDict()
     created = old["review_creation_date"]
-    newer = old | {"review_id": "r9", "review_score": "1", "review_creation_date": created.replace(day=20)}
-    tied = old | {"review_id": "r0", "review_score": "2"}
+    newer = old | {"review_id": "v9", "review_score": "1", "review_creation_date": created.replace(day=20)}
+    tied = old | {"review_id": "v0", "review_score": "2"}
     reviews = with_rows(tables["order_reviews"], spark, newer, tied)
     found = rows(marts.orders_enriched({**tables, "order_reviews": reviews}), "order_id")
-    assert found["ord_001"]["review_score"] == 1
+    assert found["o1"]["review_score"] == 1
     reviews = with_rows(tables["order_reviews"], spark, tied)
-    assert rows(marts.orders_enriched({**tables, "order_reviews": reviews}), "order_id")["ord_001"]["review_score"] == 4
+    assert rows(marts.orders_enriched({**tables, "order_reviews": reviews}), "order_id")["o1"]["review_score"] == 5
 
 
-def test_same_day_delivery_is_late_without_delay(spark, tables):
-    orders = tables["orders"].withColumn(
-        "order_delivered_customer_date",
-        F.when(F.col("order_id") == "ord_001", F.lit("2024-01-10 14:00:00").cast("timestamp")).otherwise(
-            F.col("order_delivered_customer_date")
-        ),
-    )
-    row = marts.seller_delivery_metrics({**tables, "orders": orders}).filter("seller_id = 'A'").first()
-    assert row.delay_rate_pct == 66.67
-    assert row.avg_delivery_delay_days == pytest.approx((0 - 2 + 10) / 3)
+def test_same_day_delivery_is_late_without_delay(tables):
+    # o1 comes on its due day, o7 before it; only o2 and o3 have days of delay
+    row = marts.seller_delivery_metrics(tables).filter("seller_id = 'S1'").first()
+    assert row.delay_rate_pct == 100.0
+    assert row.avg_delivery_delay_days == pytest.approx((0 + 8) / 2)
 
 
 def test_averages_weigh_items_and_counts_do_not(spark, tables):
-    extra = [("ord_001", str(i), "prod_001", "A", None, "50.00", "5.00") for i in (2, 3)]
+    extra = [("o3", str(i), "rug", "S3", None, "100.00", "5.00") for i in (2, 3)]
     items = with_rows(tables["order_items"], spark, *extra)
     changed = {**tables, "order_items": items}
-    row = marts.seller_delivery_metrics(changed).filter("seller_id = 'A'").first()
-    assert row.total_orders == 3 and row.delay_rate_pct == 33.33
-    assert row.avg_delivery_delay_days == pytest.approx((3 * -2 - 2 + 10) / 5)
-    review = marts.review_risk_metrics(changed).filter("seller_id = 'A'").first()
-    assert review.reviewed_orders == 3 and review.avg_review_score == pytest.approx((3 * 4 + 5 + 1) / 5)
-    product = marts.product_quality_metrics(changed).filter("product_id = 'prod_001'").first()
-    assert product.avg_unit_price == pytest.approx((150 * 2 + 50 * 2) / 4) and product.total_orders == 2
+    row = marts.seller_delivery_metrics(changed).filter("seller_id = 'S3'").first()
+    assert row.total_orders == 2 and row.delay_rate_pct == 50.0
+    assert row.avg_delivery_delay_days == pytest.approx((3 * 16 - 9) / 4)
+    review = marts.review_risk_metrics(changed).filter("seller_id = 'S3'").first()
+    assert review.reviewed_orders == 2 and review.avg_review_score == pytest.approx((3 * 1 + 4) / 4)
+    product = marts.product_quality_metrics(changed).filter("product_id = 'rug'").first()
+    assert product.avg_unit_price == pytest.approx((700 + 100 * 2) / 3) and product.total_orders == 1
 
 
 def test_two_reviews_repeat_items_in_product_averages(spark, tables):
-    first = tables["order_reviews"].filter("review_id = 'r1'").first().asDict()
-    reviews = with_rows(tables["order_reviews"], spark, first | {"review_id": "r7", "review_score": "1"})
-    extra = ("ord_001", "2", "prod_001", "A", None, "50.00", "5.00")
-    items = with_rows(tables["order_items"], spark, extra)
-    row = marts.product_quality_metrics({**tables, "order_reviews": reviews, "order_items": items})
-    row = row.filter("product_id = 'prod_001'").first()
-    # ord_001 has two items and two reviews, ord_003 one of each
-    assert row.avg_unit_price == pytest.approx((150 + 50 + 150 + 50 + 150) / 5)
-    assert row.avg_review_score == pytest.approx((4 + 1 + 4 + 1 + 5) / 5)
+    row = marts.product_quality_metrics(tables).filter("product_id = 'drill'").first()
+    # o2 has two reviews, o6 one
+    assert row.avg_unit_price == pytest.approx((320 * 2 + 300) / 3)
+    assert row.avg_review_score == pytest.approx((3 + 2 + 4) / 3)
+    assert (row.reviewed_orders, row.defect_signals, row.defect_rate_pct) == (2, 1, 50.0)
+    items = with_rows(tables["order_items"], spark, ("o2", "3", "drill", "S2", None, "80.00", "4.00"))
+    row = marts.product_quality_metrics({**tables, "order_items": items}).filter("product_id = 'drill'").first()
+    # two items times two reviews, and one of each
+    assert row.avg_unit_price == pytest.approx((320 * 2 + 80 * 2 + 300) / 5)
+    assert row.avg_review_score == pytest.approx((3 * 2 + 2 * 2 + 4) / 5)
     assert (row.reviewed_orders, row.defect_signals, row.defect_rate_pct) == (2, 1, 50.0)
 
 
 def test_odd_values(spark, tables):
-    extra = [("ord_003", "2", "prod_001", "A", None, "0", "5.00"), ("ord_404", "1", "prod_009", "Z", None, "x", "1")]
+    extra = [("o7", "2", "saw", "S4", None, "0", "5.00"), ("o99", "1", "hammer", "S9", None, "x", "1")]
     items = with_rows(tables["order_items"], spark, *extra)
     changed = {**tables, "order_items": items}
     ratios = rows(marts.freight_ratio(changed), "seller_id")
-    assert ratios["A"]["avg_freight_ratio"] == pytest.approx((25.5 / 150 + 25.5 / 150 + 45 / 350) / 3)
-    assert "Z" not in ratios  # its order is unknown
-    assert marts.seller_delivery_metrics(changed).filter("seller_id = 'Z'").count() == 0
+    assert ratios["S4"]["avg_freight_ratio"] == pytest.approx((20 / 250 + 24 / 240) / 2)
+    assert "S9" not in ratios  # its order is unknown
+    assert marts.seller_delivery_metrics(changed).filter("seller_id = 'S9'").count() == 0
     scores = tables["order_reviews"].withColumn("review_score", F.concat("review_score", F.lit(".0")))
-    found = marts.review_risk_metrics({**tables, "order_reviews": scores}).filter("seller_id = 'A'").first()
+    found = marts.review_risk_metrics({**tables, "order_reviews": scores}).filter("seller_id = 'S3'").first()
     assert (found.negative_reviews, found.worst_review_score) == (1, 1)
 
 
 def test_window_limits_freight_or_everything(tables):
-    some = marts.seller_scorecard(tables, start="2024-01-03", end="2024-01-05")
-    assert rows(some, "seller_id")["A"]["total_orders"] == 3
-    assert rows(some, "seller_id")["B"]["avg_freight_ratio"] is None
-    everything = rows(marts.seller_scorecard(tables, start="2024-01-03", end="2024-01-05", window_scope="all"), "seller_id")
-    assert set(everything) == {"A", "D"} and everything["A"]["total_orders"] == 1
+    some = rows(marts.seller_scorecard(tables, start="2023-03-10", end="2023-03-16"), "seller_id")
+    assert some["S2"]["total_orders"] == 3 and some["S2"]["avg_freight_ratio"] == pytest.approx((10 / 40 + 30 / 300) / 2)
+    assert some["S1"]["avg_freight_ratio"] is None
+    everything = rows(marts.seller_scorecard(tables, start="2023-03-10", end="2023-03-16", window_scope="all"), "seller_id")
+    assert set(everything) == {"S2", "S3", "S4"} and everything["S2"]["total_orders"] == 2
     with pytest.raises(ValueError, match="window_scope"):
         marts.seller_scorecard(tables, window_scope="some")
 
@@ -122,7 +121,7 @@ def test_window_limits_freight_or_everything(tables):
 def test_states_count_an_order_once(spark, tables):
     sellers = tables["sellers"].withColumn("seller_state", F.lit("SP"))
     row = marts.state_delivery_metrics({**tables, "sellers": sellers}).first()
-    assert (row.total_orders, row.delivered_orders, row.delay_rate_pct) == (5, 4, 50.0)
+    assert (row.total_orders, row.delivered_orders, row.delay_rate_pct) == (7, 5, 60.0)
 
 
 def test_value_ranges(spark, star_folder):

@@ -48,9 +48,9 @@ def test_small_sample(spark):
 
 def test_triage(spark, tables):
     found = rows(policy.triage_reviews(tables["order_reviews"]), "review_id")
-    assert set(found) == {"r2", "r5"}
-    assert found["r2"]["category"] == "logistics" and found["r2"]["owner"] == "carrier / seller"
-    assert found["r5"]["matched"] == ["quality"]
+    assert set(found) == {"v3", "v4"}
+    assert found["v3"]["category"] == "logistics" and found["v3"]["owner"] == "carrier / seller"
+    assert found["v4"]["matched"] == ["quality"]
     texts = [("1", "1", "包装差 又 贵"), ("2", "2", None), ("3", "1", "Seller was RUDE"), ("4", "5", "slow")]
     df = spark.createDataFrame(texts, "review_id string, review_score string, review_comment_message string")
     found = rows(policy.triage_reviews(df), "review_id")
@@ -115,19 +115,24 @@ def test_category_trend(spark):
 
 
 def test_auto_tasks(spark, tables):
-    card = marts.seller_scorecard(tables).withColumn("cycle", F.lit("2024-01"))
+    card = marts.seller_scorecard(tables).withColumn("cycle", F.lit("2023-03"))
     found = policy.auto_tasks(card, "seller", "seller_id", "cycle").collect()
     kinds = {(r.target_id, r.task_type): (r.priority, r.assignee) for r in found}
     assert kinds == {
-        ("A", "delivery_risk"): ("P0", "区域经理"), ("A", "review_triage"): ("P1", "客服专员"),
-        ("B", "delivery_risk"): ("P0", "区域经理"), ("B", "review_triage"): ("P0", "客服主管"),
-        ("C", "delivery_risk"): ("P0", "区域经理"), ("C", "review_triage"): ("P0", "客服主管"),
+        (s, kind): who
+        for s in ("S1", "S2", "S3")
+        for kind, who in (("delivery_risk", ("P0", "区域经理")), ("review_triage", ("P1", "客服专员")))
     }
-    a = next(r for r in found if (r.target_id, r.task_type) == ("A", "delivery_risk"))
-    assert a.title == "[物流风险] A 延迟率 33.33%" and a.sop_reference == "SOP-DELIVERY-001 §1.2"
-    assert a.description == "卖家: A (Sao Paulo, SP)\n延迟率: 33.33%\n平均延迟: 2.00 天\n总订单: 3"
+    s2 = next(r for r in found if (r.target_id, r.task_type) == ("S2", "delivery_risk"))
+    assert s2.title == "[物流风险] S2 延迟率 50.00%" and s2.sop_reference == "SOP-DELIVERY-001 §1.2"
+    assert s2.description == "卖家: S2 (Joinville, SC)\n延迟率: 50.00%\n平均延迟: -0.50 天\n总订单: 3"
+    # a share of negative reviews above one half is urgent
+    worse = tables["order_reviews"].filter("order_id <> 'o6'")
+    card = marts.seller_scorecard({**tables, "order_reviews": worse})
+    urgent = policy.auto_tasks(card, "seller", "seller_id").filter("task_type = 'review_triage' and priority = 'P0'")
+    assert {(r.target_id, r.assignee) for r in urgent.collect()} == {("S2", "客服主管"), ("S3", "客服主管")}
     products = policy.auto_tasks(marts.product_quality_metrics(tables), "product", "product_id").collect()
-    assert {(r.target_id, r.priority) for r in products} == {("prod_002", "P0"), ("prod_003", "P0"), ("prod_005", "P0")}
+    assert {(r.target_id, r.priority) for r in products} == {("lamp", "P0"), ("drill", "P0"), ("rug", "P0")}
     with pytest.raises(ValueError, match="no rule"):
         policy.auto_tasks(tables["sellers"], "seller", "seller_id")
 
@@ -139,8 +144,9 @@ def test_rule_share(spark):
 
 
 def test_region_evidence(tables):
-    found = policy.region_evidence(tables, tables["sellers"].filter("seller_id in ('A', 'D')"), "2024-01-31").collect()
+    found = policy.region_evidence(tables, tables["sellers"].filter("seller_id in ('S2', 'S4')"), "2023-03-31").collect()
     assert {(r.seller_id, r.customer_state): (r.n_orders, r.n_late, r.share_pct) for r in found} == {
-        ("A", "SP"): (2, 1, 66.67), ("A", "MG"): (1, 0, 33.33), ("D", "BA"): (1, 0, 100.0),
+        ("S2", "PR"): (1, 0, 33.33), ("S2", "PE"): (1, 1, 33.33), ("S2", "RS"): (1, 0, 33.33),
+        ("S4", "CE"): (1, 0, 50.0), ("S4", "PE"): (1, 0, 50.0),
     }
-    assert policy.region_evidence(tables, tables["sellers"], "2024-01-31", days=1).count() == 0
+    assert policy.region_evidence(tables, tables["sellers"], "2023-03-31", days=1).count() == 0

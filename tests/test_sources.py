@@ -22,21 +22,21 @@ def test_empty_folder_gives_no_tables(spark, tmp_path):
 def test_types_and_empty_values(tables):
     kinds = dict(tables["orders"].dtypes)
     assert kinds["order_purchase_timestamp"] == "timestamp" and kinds["order_status"] == "string"
-    canceled = tables["orders"].filter("order_id = 'ord_004'").first()
+    canceled = tables["orders"].filter("order_id = 'o4'").first()
     assert canceled.order_delivered_customer_date is None and canceled.order_approved_at is None
 
 
 def test_quoted_line_breaks_and_quotes(tables):
     texts = rows(tables["order_reviews"], "review_id")
-    assert texts["r1"]["review_comment_message"] == "arrived\nin time"
-    assert texts["r2"]["review_comment_message"] == 'slow, "very" slow'
-    assert texts["r3"]["review_comment_message"] is None
+    assert texts["v1"]["review_comment_message"] == "warm light,\neasy to mount"
+    assert texts["v3"]["review_comment_message"] == 'so "express" was slow'
+    assert texts["v2"]["review_comment_message"] is None
 
 
 def test_unparsed_times_are_counted(spark, csv_folder):
     raw = {"orders": marketplace.read_csv_table(spark, f"{csv_folder}/olist_orders_dataset.csv", "orders")}
     counts = rows(marketplace.unparsed_times(raw), "column_name")
-    assert counts["order_approved_at"]["unparsed"] == 1 and counts["order_approved_at"]["filled"] == 5
+    assert counts["order_approved_at"]["unparsed"] == 1 and counts["order_approved_at"]["filled"] == 7
     assert counts["order_purchase_timestamp"]["unparsed"] == 0
 
 
@@ -63,8 +63,8 @@ def test_file_audit_of_missing_folder(spark):
 def test_catalog(spark, tables):
     marts = build_marts(tables, register=True)
     counts = rows(audit.catalog_counts(tables, marts), "name")
-    assert counts["orders"]["n_rows"] == 5 and counts["orders_enriched"] == {
-        "name": "orders_enriched", "kind": "mart", "n_rows": 5,
+    assert counts["orders"]["n_rows"] == 7 and counts["orders_enriched"] == {
+        "name": "orders_enriched", "kind": "mart", "n_rows": 7,
     }
     assert spark.table("seller_delivery_metrics").count() == 4
     assert audit.catalog_status(spark, tables, marts).first().status == "ok"
