@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import BLANK, strip
+
 # The two spellings of a reasoning block.
-OPENING = "(?:<\\s*think\\s*>|\U0002DFE8\\s*think\\s*\U0002DFE9)"
-CLOSING = "(?:<\\s*/\\s*think\\s*>|\U0002DFE8\\s*/\\s*think\\s*\U0002DFE9)"
+OPENING = f"(?:<{BLANK}*think{BLANK}*>|\U0002DFE8{BLANK}*think{BLANK}*\U0002DFE9)"
+CLOSING = f"(?:<{BLANK}*/{BLANK}*think{BLANK}*>|\U0002DFE8{BLANK}*/{BLANK}*think{BLANK}*\U0002DFE9)"
 REASONING = f"(?is){OPENING}.*?{CLOSING}"
 
 # Words of the intent rules.
@@ -28,13 +30,9 @@ PLAN_SCHEMA = (
 )
 
 
-def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def strip_reasoning(text: Column) -> Column:
     """Text without reasoning blocks, trimmed."""
-    return _trim(F.regexp_replace(text, REASONING, ""))
+    return strip(F.regexp_replace(text, REASONING, ""))
 
 
 def is_json(text: Column) -> Column:
@@ -56,7 +54,7 @@ def json_block(text: Column) -> Column:
     """
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     bare = (F.regexp_extract(text, pattern, 0) for pattern in (r"(?s)\{.*\}", r"(?s)\[.*\]"))
-    return F.coalesce(*(F.when(is_json(_trim(c)), _trim(c)) for c in (fenced, *bare)))
+    return F.coalesce(*(F.when(is_json(strip(c)), strip(c)) for c in (fenced, *bare)))
 
 
 def is_refusal(text: Column) -> Column:

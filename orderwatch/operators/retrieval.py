@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank, words as words_of, without_accents
+
 # Okapi BM25 parameters and the lowest weight of a very common term.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 SUBSTRING_SCORE = 999.0
@@ -36,8 +38,12 @@ KEY_CHARS = 4
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
+    """Lower-case runs of letters and digits, without accents."""
+    return _runs(without_accents(F.lower(text)))
+
+
+def _runs(text: Column) -> Column:
+    return F.array_remove(F.split(text, NOT_WORD), "")
 
 
 # ------------------------------------------------------------- index tables
@@ -70,7 +76,7 @@ def corpus_stats(chunks: DataFrame, columns: Sequence[str] = INDEXED) -> DataFra
 
 
 def _indexed(chunks: DataFrame) -> DataFrame:
-    return chunks.filter(F.trim("text") != "")
+    return chunks.filter(~is_blank(F.col("text")))
 
 
 def _length(columns: Sequence[str]) -> Column:
@@ -91,8 +97,7 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     letters or digits gives the empty phrase, which no chunk matches.
     """
     cleaned = F.translate("query", '-"*', " ")
-    words = F.filter(F.split(cleaned, r"\s+"), lambda w: w != "")
-    rows = queries.select("query_id", F.explode(words).alias("word"))
+    rows = queries.select("query_id", F.explode(words_of(cleaned)).alias("word"))
     parts = tokens(F.col("word"))
     rows = rows.select("query_id", F.array_join(parts, " ").alias("phrase"), F.size(parts).alias("n_parts"))
     return rows.groupBy("query_id", "phrase", "n_parts").agg(F.count(F.lit(1)).alias("repeats"))
@@ -217,7 +222,7 @@ def search(
     looked at; every phrase of every chunk is scored just for queries that have
     no complete match.
     """
-    n_words = F.size(F.filter(F.split("query", r"\s+"), lambda w: w != ""))
+    n_words = F.size(words_of(F.col("query")))
     phrases = query_phrases(queries)
     shape = phrase_shape(phrases, max_broadcast)
 
@@ -288,7 +293,7 @@ def _seeds(queries: DataFrame) -> DataFrame:
     is taken, cut to ``SEED_CHARS`` characters.
     """
     rows = queries.select("query_id", F.lower("query").alias("_q")).filter("length(_q) > 0")
-    rows = rows.withColumn("_t", tokens(F.col("_q")))
+    rows = rows.withColumn("_t", _runs(F.col("_q")))
 
     def longest(values: Column) -> Column:
         return F.array_max(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
@@ -328,7 +333,7 @@ def _containing(
         return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("seed")))
 
     text = F.col("_text")
-    words = tokens(text)
+    words = _runs(text)
     marks = F.filter(F.split(text, r"[\p{L}\p{N}]+"), lambda m: m != "")
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     parts = []

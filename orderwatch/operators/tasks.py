@@ -183,17 +183,20 @@ def apply_updates(tasks: DataFrame, updates: DataFrame) -> DataFrame:
     They are reduced to one row per task first: the last status, the last
     non-empty note, the last given assignee and the last time of being done.
     Updates with a status outside the vocabulary or an unknown task do nothing.
+    Updates of one moment apply in the order of the column ``sequence``, if there
+    is one, then of their content; those without a time come before all others.
     """
     at = F.col("updated_at")
+    order = F.struct(at, *(c for c in ("sequence",) if c in updates.columns), "status", "resolution_note", "assignee")
     latest = (
         updates.filter(F.col("status").isin(*STATUSES))
         .groupBy("task_id")
         .agg(
-            F.max_by("status", at).alias("new_status"),
+            F.max_by("status", order).alias("new_status"),
             F.max(at).alias("new_updated_at"),
             F.max(F.when(F.col("status").isin(*DONE_STATUSES), at)).alias("new_resolved_at"),
-            F.max_by("resolution_note", F.when(F.col("resolution_note") != "", at)).alias("new_note"),
-            F.max_by("assignee", F.when(F.col("assignee").isNotNull(), at)).alias("new_assignee"),
+            F.max_by("resolution_note", F.when(F.col("resolution_note") != "", order)).alias("new_note"),
+            F.max_by("assignee", F.when(F.col("assignee").isNotNull(), order)).alias("new_assignee"),
         )
     )
     changed = {

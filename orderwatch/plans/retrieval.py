@@ -110,7 +110,7 @@ QUERIES = {
 
 
 def _tokens(text: str) -> str:
-    return f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(strip_accents(lower({text})), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def search_views(chunks: str, top_k: int) -> dict[str, str]:

@@ -18,6 +18,7 @@ def one(spark, text, expression):
         ("<think>why</think> 42 ", "42"), ("plain", "plain"), ("< Think >a\nb</ THINK >\n x", "x"),
         ("<think>a</think>x<think>b</think>y", "xy"), ("<think>a <think> b</think> rest</think> c", "rest</think> c"),
         ("\U0002DFE8 think \U0002DFE9 secret \U0002DFE8/think\U0002DFE9 out", "out"), ("<think>open only", "<think>open only"), ("", ""),
+        ("<\u00a0think>a</think\u3000>\u00a0\u3000b\u2003", "b"),
     ],
 )
 def test_reasoning_is_removed(spark, text, cleaned):
@@ -41,6 +42,8 @@ def test_json_block(spark, text, value):
 def test_refusal(spark):
     assert one(spark, "<think>x</think> no_evidence: nothing", labelling.is_refusal) is True
     assert one(spark, "The answer is NO_EVIDENCE", labelling.is_refusal) is False
+    assert one(spark, "\u3000NO_EVIDENCE", labelling.is_refusal) is True
+    assert one(spark, "<think>x</think>\u00a0no_evidence", labelling.is_refusal) is True
 
 
 @pytest.mark.parametrize(

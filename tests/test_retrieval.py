@@ -203,3 +203,13 @@ def test_no_queries(spark, chunks):
     none = spark.createDataFrame([], "query_id long, query string")
     assert retrieval.search(chunks, none).count() == 0
     assert retrieval.retrieve(chunks, none.withColumn("x", F.lit(1)).drop("x")).count() == 0
+
+
+def test_blanks_and_accents_of_any_kind(spark):
+    texts = [("a", "Entrega lenta em São Paulo"), ("b", "delivery was slow"), ("c", "\r\n\u3000"), ("d", "cafe\u0301 novo")]
+    chunks = spark.createDataFrame([(i, t, "", "", "", "") for i, t in texts], CHUNK_SCHEMA)
+    asked = ["sao paulo", "SÃO", "delivery\u3000slow", "slow\u00a0delivery", "café", "cafe"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    found = retrieval.search(chunks, queries).collect()
+    assert sorted((r.query_id, r.chunk_id) for r in found) == [(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "d"), (5, "d")]
+    assert retrieval.corpus_stats(chunks).first().n_chunks == 3

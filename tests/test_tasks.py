@@ -94,6 +94,25 @@ def test_lists(spark):
     assert tasks.get_task(df, "RT-2").first().target_id == "b" and tasks.get_task(df, "none").count() == 0
 
 
+def test_updates_of_one_moment_and_without_time(spark):
+    df = store(
+        spark,
+        *((str(n), "delivery_risk", "P0", "pending", "a", "desk", T0, None, None) for n in (1, 2)),
+    )
+    updates = spark.createDataFrame(
+        [
+            ("RT-1", "resolved", "first", None, hours(1), 1), ("RT-1", "in_progress", "second", None, hours(1), 2),
+            ("RT-2", "in_progress", "no time", "ann", None, 1),
+        ],
+        "task_id string, status string, resolution_note string, assignee string, updated_at timestamp, sequence int",
+    )
+    found = rows(tasks.apply_updates(df, updates), "task_id")
+    assert (found["RT-1"]["status"], found["RT-1"]["resolution_note"]) == ("in_progress", "second")
+    assert (found["RT-2"]["status"], found["RT-2"]["assignee"], found["RT-2"]["updated_at"]) == ("in_progress", "ann", T0)
+    plain = rows(tasks.apply_updates(df, updates.drop("sequence")), "task_id")
+    assert plain["RT-1"]["status"] == "resolved"  # by content where nothing tells the order
+
+
 def test_updates(spark):
     df = store(
         spark,
