@@ -367,39 +367,46 @@ def task_recurrence(tasks: DataFrame, days: int = 30) -> DataFrame:
 # --------------------------------------------------------- tasks from findings
 
 
-def tasks_from_findings(requests: DataFrame, findings: DataFrame) -> DataFrame:
+def tasks_from_findings(
+    requests: DataFrame, findings: DataFrame, max_findings: int | None = 3, finding_chars: int | None = 300
+) -> DataFrame:
     """Type, priority, target, gate and texts of a task per request.
 
     ``requests`` has request_id, request and context_chars (0 when there is no
-    procedure context). ``findings`` has request_id, position (from 0), seller_id,
-    product_id, order_id, risk_level and finding (JSON text). A request's
-    findings are reduced by partial aggregates; only the first three are kept.
+    procedure context); with a column ``plan`` its text counts for the type, too.
+    ``findings`` has request_id, position (from 0), seller_id, product_id, order_id,
+    risk_level and finding (JSON text). A request's findings are reduced by partial
+    aggregates; the description shows the first ``max_findings`` up to
+    ``finding_chars`` characters each (None: all), and may then be longer than a
+    task allows: ``validate_tasks`` tells.
     """
     at = F.col("position")
     level = F.when(F.col("risk_level").isin(*PRIORITIES), F.col("risk_level"))
     target = F.coalesce(*(F.col(c).cast("string") for c in ("seller_id", "product_id", "order_id")))
-    line = F.concat(F.lit("  - "), F.substring("finding", 1, 300))
+    line = F.concat(F.lit("  - "), F.col("finding") if finding_chars is None else F.substring("finding", 1, finding_chars))
+    shown = F.lit(True) if max_findings is None else at < max_findings
     reduced = findings.groupBy("request_id").agg(
         F.min_by(level, F.when(level.isNotNull(), at)).alias("first_level"),
         F.min_by(target, F.when(target.isNotNull(), at)).alias("first_target"),
         F.bool_or(F.col("risk_level").isin("P0", "P1")).alias("any_urgent"),
-        F.array_sort(F.collect_list(F.when(at < 3, F.struct(at, line.alias("line"))))).alias("lines"),
+        F.array_sort(F.collect_list(F.when(shown, F.struct(at, line.alias("line"))))).alias("lines"),
     )
     text = F.lower("request")
+    planned = F.concat_ws(" ", text, *(F.lower(c) for c in ("plan",) if c in requests.columns))
 
-    def says(*words: str) -> Column:
-        return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+    def says(*words: str, where: Column = text) -> Column:
+        return reduce(Column.__or__, (F.contains(where, F.lit(w)) for w in words))
 
     named = F.coalesce(*(F.when(says(p.lower()), p) for p in PRIORITIES))
     task_type = (
-        F.when(says("review", "triage"), "review_triage")
-        .when(says("quality", "product", "defect"), "quality_inspection")
+        F.when(says("review", "triage", where=planned), "review_triage")
+        .when(says("quality", "product", "defect", where=planned), "quality_inspection")
         .otherwise("delivery_risk")
     )
     priority = F.coalesce(named, "first_level", F.lit("P2"))
     target_id = F.coalesce("first_target", F.lit("unknown_target"))
-    shown = F.transform("lines", lambda entry: entry["line"])
-    listed = F.when(F.size("lines") > 0, F.concat(F.lit("Metric findings:\n"), F.array_join(shown, "\n")))
+    lines = F.transform("lines", lambda entry: entry["line"])
+    listed = F.when(F.size("lines") > 0, F.concat(F.lit("Metric findings:\n"), F.array_join(lines, "\n")))
     context = F.when(
         F.col("context_chars") > 0,
         F.concat(F.lit("SOP context available ("), F.col("context_chars").cast("string"), F.lit(" chars)")),

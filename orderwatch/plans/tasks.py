@@ -162,7 +162,7 @@ def task_recurrence(spark: SparkSession, folder: str) -> DataFrame:
     return tasks.task_recurrence(worked(spark, folder))
 
 
-def tasks_from_findings(spark: SparkSession, folder: str) -> DataFrame:
+def _requests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """One request per seller; its findings are the seller's months."""
     n = F.col("seller_id")
     requests = load_star(spark, folder)["sellers"].select(
@@ -184,7 +184,19 @@ def tasks_from_findings(spark: SparkSession, folder: str) -> DataFrame:
         level.alias("risk_level"),
         F.to_json(text).alias("finding"),
     )
-    return tasks.tasks_from_findings(requests, findings)
+    return requests, findings
+
+
+def tasks_from_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return tasks.tasks_from_findings(*_requests(spark, folder))
+
+
+def tasks_from_whole_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """All findings whole; the plan names a topic that the request may not name."""
+    requests, findings = _requests(spark, folder)
+    n = F.col("request_id")
+    plan = F.when(n % 5 == 0, "Metric: DEFECT rate").when(n % 5 == 1, "negative reviews").when(n % 5 == 2, "late")
+    return tasks.tasks_from_findings(requests.withColumn("plan", plan), findings, max_findings=None, finding_chars=None)
 
 
 QUERIES = {
@@ -192,7 +204,7 @@ QUERIES = {
     for f in (
         task_creation, task_numbering_continued, task_validation, task_list, task_list_open, task_updates,
         task_update_report, task_close, task_stats, sla_breaches, auto_close, task_month_stats, task_recurrence,
-        tasks_from_findings,
+        tasks_from_findings, tasks_from_whole_findings,
     )
 }
 
@@ -238,6 +250,37 @@ def _over_tasks(body: str, **extra: str) -> str:
     return query_sql(body, **TASK_VIEWS, born=_BORN, worked=_WORKED, **extra)
 
 
+def _findings(topic: str, shown: str) -> str:
+    """Tasks of the requests: type by the text ``topic``, description from the findings ``shown``."""
+    return query_sql(
+        f"""SELECT request_id,
+                  CASE WHEN regexp_matches({topic}, 'review|triage') THEN 'review_triage'
+                       WHEN regexp_matches({topic}, 'quality|product|defect') THEN 'quality_inspection' ELSE 'delivery_risk' END AS task_type,
+                  CASE WHEN contains(q, 'p0') THEN 'P0' WHEN contains(q, 'p1') THEN 'P1' ELSE coalesce(first_level, 'P2') END AS priority,
+                  target AS target_id, format('[{{}}] Inspection for {{}}', priority, target) AS title,
+                  concat_ws(chr(10), 'Auto-generated from query: ' || request, 'Metric findings:' || chr(10) || lines,
+                            CASE WHEN context_chars > 0 THEN format('SOP context available ({{}} chars)', context_chars) END) AS description,
+                  regexp_matches(q, 'create|task|open') OR coalesce(urgent, false) AS should_create
+           FROM (SELECT s.seller_id AS request_id, ['Review triage for this seller', 'Create P1 quality task',
+                        'Show delay findings', 'open a product inspection, p0', 'Check deliveries', 'defect report'][s.seller_id % 6 + 1] AS request,
+                        lower(request) AS q, s.seller_id % 3 * 100 AS context_chars, first_level, urgent, lines,
+                        CASE WHEN n > 0 AND s.seller_id % 4 <> 0 THEN CAST(s.seller_id AS VARCHAR)
+                             WHEN n > 0 AND s.seller_id % 8 = 0 THEN CAST(s.seller_id * 10 AS VARCHAR) ELSE 'unknown_target' END AS target
+                 FROM m_sellers s LEFT JOIN (
+                     SELECT seller_id, count(*) AS n, arg_min(level, place) AS first_level, bool_or(level IN ('P0', 'P1')) AS urgent,
+                            string_agg('  - ' || finding, chr(10) ORDER BY place) FILTER ({shown}) AS lines
+                     FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY month) AS place,
+                                  CAST(to_json({{'seller_id': CAST(seller_id AS VARCHAR), 'month': strftime(month, '%Y-%m'),
+                                                'risk_level': level}}) AS VARCHAR) AS finding
+                           FROM (SELECT seller_id, month,
+                                        CASE WHEN delay_rate_pct > 30 OR max_delivery_delay_days > 15 THEN 'P0'
+                                             WHEN delay_rate_pct >= 15 OR avg_delivery_delay_days > 7 THEN 'P1'
+                                             WHEN delay_rate_pct >= 5 OR avg_delivery_delay_days >= 3 THEN 'P2' ELSE 'P3' END AS level
+                                 FROM d)) GROUP BY seller_id) USING (seller_id))""",
+        d=TASK_VIEWS["d"],
+    )
+
+
 ORACLES = {
     "task_creation": _over_tasks(
         f"""SELECT task_id, task_type, priority, 'pending' AS status, target_id, title, {_text("created_at")} FROM born"""
@@ -321,31 +364,8 @@ ORACLES = {
             FROM (SELECT *, coalesce(created_at - lag(created_at) OVER (PARTITION BY target_id, task_type ORDER BY created_at)
                                      <= INTERVAL 30 DAY, false) AS again FROM worked) GROUP BY 1, 2"""
     ),
-    "tasks_from_findings": query_sql(
-        """SELECT request_id,
-                  CASE WHEN regexp_matches(q, 'review|triage') THEN 'review_triage'
-                       WHEN regexp_matches(q, 'quality|product|defect') THEN 'quality_inspection' ELSE 'delivery_risk' END AS task_type,
-                  CASE WHEN contains(q, 'p0') THEN 'P0' WHEN contains(q, 'p1') THEN 'P1' ELSE coalesce(first_level, 'P2') END AS priority,
-                  target AS target_id, format('[{}] Inspection for {}', priority, target) AS title,
-                  concat_ws(chr(10), 'Auto-generated from query: ' || request, 'Metric findings:' || chr(10) || lines,
-                            CASE WHEN context_chars > 0 THEN format('SOP context available ({} chars)', context_chars) END) AS description,
-                  regexp_matches(q, 'create|task|open') OR coalesce(urgent, false) AS should_create
-           FROM (SELECT s.seller_id AS request_id, ['Review triage for this seller', 'Create P1 quality task',
-                        'Show delay findings', 'open a product inspection, p0', 'Check deliveries', 'defect report'][s.seller_id % 6 + 1] AS request,
-                        lower(request) AS q, s.seller_id % 3 * 100 AS context_chars, first_level, urgent, lines,
-                        CASE WHEN n > 0 AND s.seller_id % 4 <> 0 THEN CAST(s.seller_id AS VARCHAR)
-                             WHEN n > 0 AND s.seller_id % 8 = 0 THEN CAST(s.seller_id * 10 AS VARCHAR) ELSE 'unknown_target' END AS target
-                 FROM m_sellers s LEFT JOIN (
-                     SELECT seller_id, count(*) AS n, arg_min(level, place) AS first_level, bool_or(level IN ('P0', 'P1')) AS urgent,
-                            string_agg('  - ' || finding, chr(10) ORDER BY place) FILTER (place <= 3) AS lines
-                     FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY month) AS place,
-                                  CAST(to_json({'seller_id': CAST(seller_id AS VARCHAR), 'month': strftime(month, '%Y-%m'),
-                                                'risk_level': level}) AS VARCHAR) AS finding
-                           FROM (SELECT seller_id, month,
-                                        CASE WHEN delay_rate_pct > 30 OR max_delivery_delay_days > 15 THEN 'P0'
-                                             WHEN delay_rate_pct >= 15 OR avg_delivery_delay_days > 7 THEN 'P1'
-                                             WHEN delay_rate_pct >= 5 OR avg_delivery_delay_days >= 3 THEN 'P2' ELSE 'P3' END AS level
-                                 FROM d)) GROUP BY seller_id) USING (seller_id))""",
-        d=TASK_VIEWS["d"],
+    "tasks_from_findings": _findings("q", "place <= 3"),
+    "tasks_from_whole_findings": _findings(
+        """q || CASE request_id % 5 WHEN 0 THEN ' metric: defect rate' WHEN 1 THEN ' negative reviews' ELSE '' END""", "true"
     ),
 }

@@ -262,6 +262,10 @@ def test_tasks_from_findings(spark):
     assert two["description"].endswith("\nSOP context available (12 chars)")
     assert (three["priority"], three["should_create"], three["task_type"]) == ("P2", False, "delivery_risk")
     assert (four["priority"], four["target_id"], four["should_create"]) == ("P3", "p9", True)
+    planned = requests.selectExpr("*", "CASE WHEN request_id = 3 THEN 'Look at a DEFECT' END AS plan")
+    whole = rows(tasks.tasks_from_findings(planned, findings, max_findings=None, finding_chars=None), "request_id")
+    assert whole[1]["description"].endswith("\n  - " + "x" * 400 + '\n  - {"n":3}')
+    assert (whole[3]["task_type"], whole[4]["task_type"]) == ("quality_inspection", "delivery_risk")
 
 
 def test_columns_are_stable(spark):
