@@ -1,9 +1,9 @@
 """Keyword retrieval: a batch of queries against a table of chunks.
 
 Every word of a query is a prefix term; a word that the tokenizer splits is a
-phrase whose last part is a prefix. One pass over the chunks finds the places
-where a needed phrase starts. Only those (chunk, phrase) hits are shuffled, never
-the text and never the full token stream.
+phrase whose last part is a prefix. A pass over the chunks finds the places where
+a needed phrase starts, and only those (chunk, phrase) hits are shuffled; lengths
+and the literal search read the chunks again.
 """
 
 from __future__ import annotations
