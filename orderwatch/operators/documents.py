@@ -14,6 +14,7 @@ from ..functions.binding import let
 
 MIN_CHUNK_CHARS = 50
 MAX_CHUNK_CHARS = 2000
+HEAD_CHARS = 200
 
 # Content types that are never split.
 ATOMIC_TYPES = ("checklist", "table", "template", "code")
@@ -71,8 +72,8 @@ def html_to_markdown(html: Column) -> Column:
     return text
 
 
-def content_type(section: Column, text: Column) -> Column:
-    """Type by keywords in the section path and the first 200 characters."""
+def content_type(section: Column, text: Column, head_chars: int | None = HEAD_CHARS) -> Column:
+    """Type by keywords in the section path and the first ``head_chars`` characters (None: the whole text)."""
 
     def classify(head: Column) -> Column:
         kind = F.lit("paragraph")
@@ -80,7 +81,7 @@ def content_type(section: Column, text: Column) -> Column:
             kind = F.when(head.rlike(pattern), name).otherwise(kind)
         return kind
 
-    return let(F.lower(F.concat(section, F.lit(" "), F.substring(text, 1, 200))), classify)
+    return let(F.lower(F.concat(section, F.lit(" "), text if head_chars is None else F.substring(text, 1, head_chars))), classify)
 
 
 def element_id(source: Column, section: Column, text: Column) -> Column:
@@ -170,7 +171,9 @@ def element_array(docs: DataFrame, hierarchical: bool = False) -> Column:
     return F.when(kind == "text", single).otherwise(_markdown_elements(markdown, hierarchical))
 
 
-def elements(docs: DataFrame, hierarchical: bool = False, classify_pages: bool = False) -> DataFrame:
+def elements(
+    docs: DataFrame, hierarchical: bool = False, classify_pages: bool = False, head_chars: int | None = HEAD_CHARS
+) -> DataFrame:
     """One row per element: text, source, section, page, content_type, element_id.
 
     Markdown elements are classified; plain text and, unless ``classify_pages``
@@ -190,7 +193,7 @@ def elements(docs: DataFrame, hierarchical: bool = False, classify_pages: bool =
         text.alias("text"),
         section.alias("section"),
         "page",
-        F.when(F.col("_classified"), content_type(section, text)).otherwise("paragraph").alias("content_type"),
+        F.when(F.col("_classified"), content_type(section, text, head_chars)).otherwise("paragraph").alias("content_type"),
         element_id(F.col("source"), section, text).alias("element_id"),
     )
 

@@ -185,3 +185,10 @@ def test_preparation_needs_no_shuffle(spark):
 def test_extra_columns_are_kept(spark):
     df = docs(spark, ("a", "x", "markdown")).withColumn("lang", F.lit("en"))
     assert documents.elements(df).first().lang == "en" and documents.chunks(df).first().lang == "en"
+
+
+def test_content_type_of_whole_texts(spark):
+    late = "plain words " * 30 + "and then a checklist"
+    docs = spark.createDataFrame([("a.md", late)], "source string, text string")
+    assert documents.elements(docs).first().content_type == "paragraph"
+    assert documents.elements(docs, head_chars=None).first().content_type == "checklist"
