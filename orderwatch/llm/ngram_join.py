@@ -60,8 +60,8 @@ def missing(n: int, percent: int) -> int:
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """Index entries of a sorted token set."""
     lack = missing(len(tokens), percent)
-    if lack == 0:
-        return np.zeros(0, np.uint64)  # only equal sets are similar enough, and these are collapsed
+    if 100 * len(tokens) < percent * (len(tokens) + 1):
+        return np.zeros(0, np.uint64)  # not even a set with one more token is similar enough; equal sets are collapsed
     at = np.searchsorted(frequent, tokens)
     common = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(len(tokens), bool)
     rare, often = tokens[~common], tokens[common]

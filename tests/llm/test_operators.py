@@ -118,6 +118,27 @@ def test_signatures_meet_whatever_is_frequent():
             assert ngram_join.possible(ngram_join.sketch(a), ngram_join.sketch(b), 85)
 
 
+def test_signatures_of_contained_sets_meet():
+    import numpy as np
+
+    rng, linked = np.random.default_rng(5), 0
+    for percent, n, m, _ in itertools.product((80, 85, 90), range(1, 11), range(1, 11), range(20)):
+        b = np.unique(rng.integers(0, 2**63, max(n, m), np.uint64))
+        a = np.sort(rng.permutation(b)[: min(n, m)])
+        frequent = np.sort(rng.permutation(b)[: int(rng.integers(0, len(b) + 1))])
+        if len(a) < len(b) and 100 * len(a) >= percent * len(b):
+            linked += 1
+            assert len(np.intersect1d(ngram_join.signatures(a, frequent, percent), ngram_join.signatures(b, frequent, percent))), (percent, len(a), len(b))
+    assert linked > 300
+
+
+def test_short_texts_with_a_word_more_are_linked(spark):
+    text = " ".join(f"w{k}" for k in range(9))
+    rows = [(1, text), (2, text + " more"), (3, "less " + text), (4, " ".join(f"v{k}" for k in range(9)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.link(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_lm_base_is_exact(small):
     import math
 
