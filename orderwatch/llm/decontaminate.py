@@ -14,12 +14,21 @@ the window reaches as far as the item does; sampled steps fit window lengths in
 item of 200 bytes has about eight windows, so an edited item is found if one of windows
 times walks meets no edit at its samples: the tests measure recall.
 
+Short items, of fewer than SHORT_WORDS words, may share no anchor with a document. Their
+windows start at every word start, of items and of documents, and their first bytes (up to
+GRAM_SIZES[-1]) are looked up at every byte of a document. Longer items share with each copy
+the anchor of their second to ninth word; the bytes from there are looked up at the anchors.
+So no exact copy is lost. Of items under SHORTEST bytes that allow an edit (from 9 bytes) the first
+and the last GRAM bytes are looked up: one edit spoils one of them only. Documents are read
+for this only if the block has short items.
+
 Benchmark items are the query set; they are taken in blocks of ITEMS_PER_BLOCK, whose
 windows travel with the tasks, and every block meets all documents and whole texts.
 
 Defined results: case of A-Z is ignored; NULL and empty texts hold no item; items that are NULL or
-shorter than SHORTEST bytes are not searched for; equal items are all reported; repeated
-rows are judged alike; an empty benchmark marks nothing.
+blank are not searched for; items too short for an edit (under 9 bytes) count where no
+letter or digit adjoins them; equal items are all reported; repeated rows are judged alike;
+an empty benchmark marks nothing.
 """
 
 from __future__ import annotations
@@ -33,13 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BASE, lower, rows_of, text_batches, whole_text, word_places
+from .shared import BASE, lower, mix, rows_of, text_batches, whole_text, word_places
 
 REPEATS = 4
 SAMPLES = 8
 LENGTHS = (16, 48, 96, 192)
 SHORTEST = 16
 ANCHOR_WORDS = 8
+# An item of so many words has room after the anchor of its second to ninth word.
+SHORT_WORDS = 2 * ANCHOR_WORDS - 1
+GRAM_SIZES = (1, 2, 4, 8, 16)
 MAX_EDIT_SHARE = 0.12
 GRAM = 4
 ITEMS_PER_BLOCK = 20_000
@@ -56,6 +68,31 @@ def anchors(data: bytes) -> np.ndarray:
     return first[np.unique(runs.argmin(1) + np.arange(len(runs)))]
 
 
+def _grams(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A key of the ``n`` bytes from each of these bytes on."""
+    keys = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        keys = keys * np.uint64(BASE) + codes[at + k] + np.uint64(1)
+    return mix(keys)
+
+
+def _gram_places(text: bytes) -> list[tuple[int, int]]:
+    """(size, offset) of the grams by which a short item is looked up."""
+    if not text.strip():
+        return []
+    if len(text) < SHORTEST and int(MAX_EDIT_SHARE * len(text)):
+        return [(GRAM, 0), (GRAM, len(text) - GRAM)]
+    return [(max(n for n in GRAM_SIZES if n <= len(text)), 0)]
+
+
+def _stands(wanted: bytes, data: bytes, at: int) -> bool:
+    """Whether ``wanted`` is at this byte and no letter or digit of A-Z and 0-9 runs on past its ends."""
+    if at < 0 or data[at : at + len(wanted)] != wanted:
+        return False
+    edges = data[max(0, at - 1) : at + 1], data[at + len(wanted) - 1 : at + len(wanted) + 1]
+    return not any(len(e) == 2 and e.isalnum() for e in edges)
+
+
 @dataclass
 class Walk:
     """One random walk: moves[step, byte], and for each window length the sampled steps."""
@@ -84,10 +121,19 @@ class Finder:
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items, self.walks = items, walks()
         self.longest = max((len(t) for _, t in items), default=0)
-        places = []
+        places, short, grams, marks = [], [], {n: [] for n in GRAM_SIZES}, {n: [] for n in GRAM_SIZES}
         for k, (_, text) in enumerate(items):
-            at = anchors(text)
+            (words, hashes), at = word_places(text), anchors(text)
             size = [int(np.searchsorted(LENGTHS, len(text) - a, "right")) - 1 for a in at]
+            if len(words) < SHORT_WORDS:
+                room = [(a, int(np.searchsorted(LENGTHS, len(text) - a, "right"))) for a in words]
+                short += [(k, a, c) for a, n in room for c in range(n)]
+                for n, a in _gram_places(text):
+                    grams[n].append((k, a))
+                continue
+            # The first and last word may have other signs around them; this anchor every copy has.
+            mark = int(words[1 + int(hashes[1 : 1 + ANCHOR_WORDS].argmin())])
+            marks[max(n for n in GRAM_SIZES if n <= len(text) - mark)].append((k, mark))
             if any(s > 0 for s in size):
                 places += [(k, a, c) for a, s in zip(at, size) for c in range(1, s + 1)]
             else:
@@ -97,11 +143,23 @@ class Finder:
             starts.append(len(joined))
             joined += text + bytes(LENGTHS[-1] * 2)
         codes = np.frombuffer(joined + bytes(LENGTHS[-1] * 2), np.uint8)
-        self.places = np.array([(k, a) for k, a, _ in places], np.int64).reshape(-1, 2)
-        sizes = np.array([s for *_, s in places], np.int64)
-        at = np.array([starts[k] + a for k, a, _ in places], np.int64)
+        self.anchored, self.short = self._windows(codes, starts, places), self._windows(codes, starts, short)
+        self.grams, self.marks = ([self._gram_table(codes, starts, n, own) for n, own in some.items() if own] for some in (grams, marks))
+
+    @staticmethod
+    def _gram_table(codes: np.ndarray, starts: list[int], n: int, own: list[tuple[int, int]]) -> tuple:
+        """Size of the grams, their keys as a bit field, whole keys sorted, their items and offsets."""
+        key = _grams(codes, np.array([starts[k] + a for k, a in own], np.int64), n)
+        order, field = np.argsort(key, kind="stable"), np.zeros(1 << 16, bool)
+        field[_slot(key)] = True
+        return n, field, key[order], np.array(own, np.int64)[order]
+
+    def _windows(self, codes: np.ndarray, starts: list[int], windows: list[tuple[int, int, int]]) -> tuple[np.ndarray, list]:
+        """Items and offsets of windows, and a table for each walk."""
+        sizes = np.array([s for *_, s in windows], np.int64)
+        at = np.array([starts[k] + a for k, a, _ in windows], np.int64)
         # For each walk and length: keys after EARLY samples as bit fields, whole keys sorted, their places.
-        self.tables = []
+        tables = []
         for walk in self.walks:
             own = []
             for c in range(len(LENGTHS)):
@@ -114,7 +172,8 @@ class Finder:
                     fields.append(field)
                 order = np.argsort(keys[-1], kind="stable")
                 own.append((fields, keys[-1][order], some[order]))
-            self.tables.append(own)
+            tables.append(own)
+        return np.array([(k, a) for k, a, _ in windows], np.int64).reshape(-1, 2), tables
 
     @staticmethod
     def _keys(codes: np.ndarray, at: np.ndarray, walk: Walk, c: int) -> np.ndarray:
@@ -150,14 +209,30 @@ class Finder:
     def _search(self, held: list[tuple[int, int, bytes]]) -> set[tuple[int, int, int]]:
         joined = b"\n".join(p for *_, p in held)
         first = np.cumsum([0] + [len(p) + 1 for *_, p in held])
-        at, found = anchors(joined), set()
+        found = set()
         codes = np.frombuffer(joined + bytes(2 * LENGTHS[-1]), np.uint8)
-        for walk, table in zip(self.walks, self.tables):
-            for window, place in self._meet(codes, at, walk, table):
-                item, offset = self.places[place]
-                own = int(np.searchsorted(first, window, "right")) - 1
-                text, begin, _ = held[own]
-                found.add((text, int(item), begin + window - int(first[own]) - int(offset)))
+
+        def meet(window: int, item: int, offset: int) -> None:
+            own = int(np.searchsorted(first, window, "right")) - 1
+            text, begin, _ = held[own]
+            found.add((text, item, begin + window - int(first[own]) - offset))
+
+        at = anchors(joined)
+        for (places, tables), start in ((self.anchored, at), (self.short, word_places(joined)[0] if len(self.short[0]) else at)):
+            if not len(places):
+                continue
+            for walk, table in zip(self.walks, tables):
+                for window, place in self._meet(codes, start, walk, table):
+                    meet(window, *places[place].tolist())
+        for some, start in ((self.marks, at), (self.grams, np.arange(len(joined) if self.grams else 0))):
+            for n, field, whole, places in some:
+                keys = _grams(codes, start, n)
+                near = np.flatnonzero(field[_slot(keys)])
+                low, high = np.searchsorted(whole, keys[near]), np.searchsorted(whole, keys[near], "right")
+                met = np.flatnonzero(low < high)
+                for window, a, b in zip(start[near[met]].tolist(), low[met].tolist(), high[met].tolist()):
+                    for place in places[a:b].tolist():
+                        meet(window, *place)
         return found
 
     def _meet(self, codes: np.ndarray, start: np.ndarray, walk: Walk, table: list) -> Iterator[tuple[int, int]]:
@@ -207,6 +282,10 @@ class Finder:
             if best[text].get(item) == 0:
                 continue
             slack = int(MAX_EDIT_SHARE * len(wanted))
+            if not slack:
+                if _stands(wanted, data[text], begin):
+                    best[text][item] = 0
+                continue
             part = data[text][max(0, begin - slack) : max(0, begin + len(wanted) + slack)]
             distance = 0 if wanted in part else edits(wanted, part) if may_fit(wanted, part, slack) else slack + 1
             if distance <= min(slack, best[text].get(item, slack)):
@@ -243,7 +322,7 @@ def blocks(benchmark: DataFrame, size: int = ITEMS_PER_BLOCK) -> Iterator[list[t
     """The items in bounded blocks, in the order of their ids."""
     rows = benchmark.filter("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id", "text")
     items = ((int(r.item_id), lower(r.text)) for r in rows.toLocalIterator())
-    items = (i for i in items if len(i[1]) >= SHORTEST)
+    items = (i for i in items if i[1].strip())
     while block := list(islice(items, size)):
         yield block
 

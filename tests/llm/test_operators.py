@@ -193,6 +193,33 @@ def test_edited_items_are_found():
     assert finder.hits([PROSE, ""]) == [[], []]
 
 
+def test_exact_copies_of_any_length_are_found():
+    import random
+
+    rng = random.Random(9)
+    for n in range(1, 20):
+        made = ("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in itertools.count())
+        items = [(k, " ".join(next(made) for _ in range(n)).encode()) for k in range(100)]
+        finder = decontaminate.Finder(items)
+        before, after = (" ".join(next(made) for _ in range(20)) for _ in range(2))
+        hits = finder.hits([f"{before} {i.decode()} {after}" for _, i in items] + [f'{before} "{i.decode()}." {after}' for _, i in items])
+        assert all((k % 100, 0) in h for k, h in enumerate(hits)), n
+
+
+def test_short_items():
+    items = [(1, b"sun"), (2, b"blue river"), (3, b"who wrote the old song"), (4, b"   "), (5, "日本語の長い質問文です".encode())]
+    hits = decontaminate.Finder(items).hits
+    assert hits(["the SUN, now", "sunny unsung", "sun", ""]) == [[(1, 0)], [], [(1, 0)], []]
+    assert hits(["a blue rivet", "a blux river", "a blux rivet", "at blueriver"]) == [[(2, 1)], [(2, 1)], [], [(2, 1)]]
+    assert hits(["he asked who wrote the old song?", "前文日本語の長い質問文です後文", "    "]) == [[(3, 0)], [(5, 0)], []]
+
+
+def test_short_items_reach_the_table(spark, docs):
+    benchmark = spark.createDataFrame([(1, "river flows past"), (2, "short"), (3, None), (4, " ")], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.find(docs, benchmark).collect()}
+    assert got == {k: [1] if k in (3, 4, 5, 6, 9, 10) else [2] if k == 7 else [] for k in range(12)}
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
