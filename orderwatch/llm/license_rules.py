@@ -70,8 +70,20 @@ RULES = [
     ("mpl2-line", "MPL-2.0", ("mpl2-name",)),
 ]
 SENTENCE_ENDS = r"[.!?;:]+[ \t\r\n]+|[.!?;:]+$|\n+"
-# A known sentence has one of these in it.
-SIGNS = r"(?i)licen|copyright|software|permission|redistribution"
+
+
+def _signs() -> str:
+    """A pattern of a few words; each known sentence has one of them in it, as its lower-case original has."""
+    left, chosen = set(SENTENCES.values()), []
+    words = sorted({w for s in left for w in s.split() if len(w) > 5})
+    while left:
+        best = max(words, key=lambda w: sum(w in s for s in left))
+        chosen.append(best)
+        left = {s for s in left if best not in s}
+    return "|".join(chosen)
+
+
+SIGNS = _signs()
 
 
 def _normalised(sentence: Column) -> Column:
@@ -82,10 +94,10 @@ def _normalised(sentence: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """The known identifiers of a text in order, each between two blanks; "" if none."""
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    candidates = F.filter(F.split(text, SENTENCE_ENDS), lambda s: s.rlike(SIGNS))
+    candidates = F.filter(F.split(text, SENTENCE_ENDS), lambda s: F.lower(s).rlike(SIGNS))
     found = F.filter(F.transform(candidates, lambda s: F.element_at(known, _normalised(s))), lambda x: x.isNotNull())
     # Texts without any sign are not cut at all.
-    return F.when(text.rlike(SIGNS), let(found, lambda f: F.when(F.size(f) > 0, F.concat(F.lit(" "), F.array_join(f, "  "), F.lit(" "))).otherwise(F.lit("")))).otherwise(F.lit(""))
+    return F.when(F.lower(text).rlike(SIGNS), let(found, lambda f: F.when(F.size(f) > 0, F.concat(F.lit(" "), F.array_join(f, "  "), F.lit(" "))).otherwise(F.lit("")))).otherwise(F.lit(""))
 
 
 def recognise(docs: DataFrame) -> DataFrame:

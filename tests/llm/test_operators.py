@@ -155,6 +155,17 @@ def test_lm_base_is_exact(small):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_each_licence_sentence_and_rule_is_recognised(spark):
+    names = list(license_rules.SENTENCES)
+    texts = [license_rules.SENTENCES[n].upper() for n in names]
+    texts += [". ".join(license_rules.SENTENCES[n] for n in ids) for _, _, ids in license_rules.RULES]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_rules.recognise(rows).collect()}
+    assert [got[k].sentences for k in range(len(names))] == names
+    for k, (rule, licence, ids) in enumerate(license_rules.RULES, len(names)):
+        assert (got[k].n_known, got[k].sentences, got[k].rules, got[k].licences) == (len(ids), ",".join(ids), rule, licence)
+
+
 def test_quality_counts(docs):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for r in quality_rules.judge(docs).collect():
