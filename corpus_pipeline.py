@@ -19,6 +19,8 @@ from orderwatch.llm.shared import stored
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 # Mean window chance of the best language below which a text counts as no language that was learned.
 MIN_LANGUAGE_SCORE = 0.3
+# Near duplicates share at least so many percent of their shingles of so many words.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents, the one with the smallest id."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

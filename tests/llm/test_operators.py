@@ -231,6 +231,14 @@ def test_short_items_reach_the_table(spark, docs):
     assert got == {k: [1] if k in (3, 4, 5, 6, 9, 10) else [2] if k == 7 else [] for k in range(12)}
 
 
+def test_pipeline_drops_near_copies_on_five_words(spark):
+    # 40 of 50 five-word shingles are shared, and 41 of 51 four-word shingles.
+    text, other = (" ".join(f"{c}{k}" for k in range(54)) for c in "ab")
+    rows = [(1, " ".join(text.split()[:44])), (2, text), (3, other), (4, " ".join(other.split()[:43]))]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
