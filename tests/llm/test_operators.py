@@ -155,6 +155,21 @@ def test_lm_base_is_exact(small):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_lm_hot_pairs_are_split(spark, monkeypatch):
+    rows = [(k, "the " * 500 + f"end{k % 3} of it") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    want = {r.doc_id: r for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "HOT_EVENTS", 1000)
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 6000)
+    for r in lm.score(docs).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (want[r.doc_id].n_tokens, want[r.doc_id].n_known, want[r.doc_id].train_tokens)
+        assert (r.base_score, r.score) == (pytest.approx(want[r.doc_id].base_score, rel=1e-9), pytest.approx(want[r.doc_id].score, rel=1e-9))
+    counts, _ = lm.count(docs)
+    counts = lm.hot_pairs(docs, counts, 60480)
+    sizes = lm._events(docs, counts, 10).groupBy("group").agg((F.sum(F.length("docs")) / 2).alias("n")).collect()
+    assert max(r.n for r in sizes) < 30000
+
+
 def test_each_licence_sentence_and_rule_is_recognised(spark):
     names = list(license_rules.SENTENCES)
     texts = [license_rules.SENTENCES[n].upper() for n in names]
