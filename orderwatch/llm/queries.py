@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, decontaminate, hilbert, license_rules, lm, ngram_join, quality_model, quality_rules, token_index
+from . import bpe, byte_cnn, decontaminate, hilbert, license_rules, lm, ngram_join, quality_model, quality_rules, simplex_clusters, spelling, token_index
 from .shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,7 +62,15 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.COUNTS, "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op5_lm, op6_license_rules, op7_ngram_join, op8_hilbert, op9_decontaminate, op10_quality_rules)}
+def op11_simplex_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return simplex_clusters.cluster(_table(spark, folder, "embeddings")).drop("compared")
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op5_lm, op6_license_rules, op7_ngram_join, op8_hilbert, op9_decontaminate, op10_quality_rules, op11_simplex_clusters, op13_spelling)}
 
 
 def _license_sql() -> str:
@@ -87,4 +95,27 @@ def _license_sql() -> str:
         FROM every"""
 
 
-ORACLES: dict[str, str] = {"op6_license_rules": _license_sql()}
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """Assignments and floored means written out round by round."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""apart_{n} AS MATERIALIZED (SELECT rid, cluster, sum((x - c) * (x - c)) AS d FROM parts JOIN centroid_{n} USING (place) GROUP BY rid, cluster),
+        placed_{n} AS MATERIALIZED (SELECT rid, min(d) AS d, arg_min(cluster, (d, cluster)) AS cluster FROM apart_{n} GROUP BY rid)""")
+        if n < rounds:
+            steps.append(f"""moved_{n} AS MATERIALIZED (SELECT cluster, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS c
+                FROM parts JOIN placed_{n} USING (rid) GROUP BY cluster, place),
+            centroid_{n + 1} AS MATERIALIZED (SELECT cluster, place, coalesce(m.c, o.c) AS c FROM centroid_{n} o LEFT JOIN moved_{n} m USING (cluster, place))""")
+    return f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        parts AS MATERIALIZED (SELECT rid, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x, unnest(range(64)) AS place FROM kept),
+        first AS MATERIALIZED (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) - 1 AS cluster FROM kept),
+        centroid_0 AS MATERIALIZED (SELECT CAST(cluster AS INTEGER) AS cluster, place, x AS c FROM parts JOIN first USING (rid) WHERE cluster < {k}),
+        {", ".join(steps)},
+        signed AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY place)) AS centroid_sha256 FROM centroid_{rounds} GROUP BY cluster)
+        SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM placed_{rounds} JOIN kept USING (rid) JOIN signed USING (cluster)"""
+
+
+ORACLES: dict[str, str] = {"op6_license_rules": _license_sql(), "op11_simplex_clusters": _cluster_sql()}
