@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, decontaminate, hilbert, license_rules, lm, ngram_join, quality_model, quality_rules, simplex_clusters, spelling, token_index
+from . import bottomk, bpe, byte_cnn, decontaminate, hilbert, license_rules, lm, ngram_join, quality_model, quality_rules, simplex_clusters, spelling, token_index
 from .shared import new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,11 +66,15 @@ def op11_simplex_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return simplex_clusters.cluster(_table(spark, folder, "embeddings")).drop("compared")
 
 
+def op12_bottomk(spark: SparkSession, folder: str) -> DataFrame:
+    return bottomk.link(_table(spark, folder, "documents"))
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op5_lm, op6_license_rules, op7_ngram_join, op8_hilbert, op9_decontaminate, op10_quality_rules, op11_simplex_clusters, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_token_index, op2_bpe, op3_quality_model, op4_byte_cnn, op5_lm, op6_license_rules, op7_ngram_join, op8_hilbert, op9_decontaminate, op10_quality_rules, op11_simplex_clusters, op12_bottomk, op13_spelling)}
 
 
 def _license_sql() -> str:
