@@ -27,6 +27,20 @@ def as_timestamp(value: Column | str) -> Column:
     return F.try_to_timestamp(_column(value), F.lit(TIMESTAMP_FORMAT))
 
 
+def exact(value: Column, places: int = 6) -> Column:
+    """The number as a decimal, so that sums do not depend on the order of addition.
+
+    It is rounded to ``places`` decimal places, more than money has; NULL if it has more
+    than ``28 - places`` digits before the point or is no number.
+    """
+    return value.try_cast(f"decimal(28,{places})")
+
+
+def exact_ratio(total: Column, count: Column) -> Column:
+    """The quotient of a decimal sum and a count, NULL where the count is zero or NULL."""
+    return ratio(total.cast("double"), count)
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """Quotient, NULL where the denominator is zero or NULL."""
     return numerator / F.nullif(denominator, F.lit(0))

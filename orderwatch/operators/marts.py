@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_double, as_int, percent, ratio
+from ..functions import as_double, as_int, exact, exact_ratio, percent, ratio
 
 Tables = Mapping[str, DataFrame]
 
@@ -26,6 +26,10 @@ MART_INPUTS = {
 }
 
 
+# Decimal places kept of a ratio before it is summed.
+RATIO_PLACES = 12
+
+
 def purchase_window(start: str | None = None, end: str | None = None) -> Column:
     """Inclusive bounds on the purchase time; no bound keeps every row."""
     keep = F.lit(True)
@@ -45,7 +49,7 @@ def payments_per_order(payments: DataFrame) -> DataFrame:
     # for an order with very many payments.
     kinds = F.array_sort(F.collect_set("payment_type"))
     return payments.groupBy("order_id").agg(
-        F.sum(as_double("payment_value")).alias("total_payment"),
+        F.sum(exact(as_double("payment_value"))).cast("double").alias("total_payment"),
         F.array_join(kinds, ", ").alias("type_list"),
     ).select(
         "order_id",
@@ -97,14 +101,14 @@ def order_outcomes(orders: DataFrame) -> DataFrame:
 
 
 def items_per_order(items: DataFrame, *keys: str) -> DataFrame:
-    """Line counts and sums per (order, key)."""
+    """Line counts and sums per (order, key); sums are decimals and so exact."""
     price = as_double("price")
     freight = ratio(as_double("freight_value"), price)
     return items.groupBy("order_id", *keys).agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.sum(price).alias("price_sum"),
+        F.sum(exact(price)).alias("price_sum"),
         F.count(price).alias("n_priced"),
-        F.sum(freight).alias("freight_sum"),
+        F.sum(exact(freight, RATIO_PLACES)).alias("freight_sum"),
         F.count(freight).alias("n_freight"),
     )
 
@@ -126,8 +130,8 @@ def delivery_measures() -> dict[str, Column]:
         "avg_delivery_delay_days": ratio(delay_sum, F.sum(F.when(dated, weight))),
         "delay_rate_pct": percent(F.count_if("is_late"), delivered),
         "cancel_rate_pct": percent(canceled, total),
-        "avg_price": ratio(F.sum("price_sum"), F.sum("n_priced")),
-        "total_revenue": F.sum("price_sum"),
+        "avg_price": exact_ratio(F.sum("price_sum"), F.sum("n_priced")),
+        "total_revenue": F.sum("price_sum").cast("double"),
     }
 
 
@@ -263,7 +267,7 @@ def product_measures() -> dict[str, Column]:
         "avg_review_score": reviews["avg_review_score"],
         "defect_signals": reviews["negative_reviews"],
         "defect_rate_pct": reviews["negative_review_rate_pct"],
-        "avg_unit_price": ratio(F.sum(F.col("price_sum") * copies), F.sum(F.col("n_priced") * copies)),
+        "avg_unit_price": exact_ratio(F.sum(F.col("price_sum") * copies), F.sum(F.col("n_priced") * copies)),
     }
 
 
@@ -296,7 +300,7 @@ def freight_ratio(tables: Tables, start: str | None = None, end: str | None = No
     return (
         lines.join(orders, "order_id", "left_semi")
         .groupBy("seller_id")
-        .agg(ratio(F.sum("freight_sum"), F.sum("n_freight")).alias("avg_freight_ratio"))
+        .agg(exact_ratio(F.sum("freight_sum"), F.sum("n_freight")).alias("avg_freight_ratio"))
     )
 
 
@@ -332,7 +336,7 @@ def seller_scorecard(
         facts = facts.withColumn("period", F.date_trunc(period, "order_purchase_timestamp").cast("date"))
         keys.append("period")
     usable = known & F.coalesce(in_window, F.lit(False))
-    freight = ratio(F.sum(F.when(usable, F.col("freight_sum"))), F.sum(F.when(usable, F.col("n_freight"))))
+    freight = exact_ratio(F.sum(F.when(usable, F.col("freight_sum"))), F.sum(F.when(usable, F.col("n_freight"))))
     measures = (
         delivery_measures()
         | review_measures()

@@ -1,21 +1,22 @@
-"""Keyword retrieval: a batch of queries against a table of chunks.
+"""Keyword retrieval: a batch of queries against a written index of chunks.
 
 Every word of a query is a prefix term; a word that the tokenizer splits is a
-phrase whose last part is a prefix. A pass over the chunks finds the places where
-a needed phrase starts, and only those (chunk, phrase) hits are shuffled; lengths
-and the literal search read the chunks again.
+phrase whose last part is a prefix. Phrases are looked up in the index's dictionary,
+and only the postings of their terms are read; no text is tokenised for a search. Where
+an operator is given chunks instead of an index, it writes one first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, words as words_of, without_accents
+from ..functions.text import is_blank, words as words_of
+from ..session import new_path, stored
+from .index import GRAM, INDEXED, MARKS, PREFIX_CHARS, WORD, SearchIndex, build_index, grams_of, tokens
 
 # Okapi BM25 parameters and the lowest weight of a very common term.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -23,28 +24,14 @@ SUBSTRING_SCORE = 999.0
 # More than any number of chunks: the search ranks all that match.
 NO_CUT = 2**31 - 1
 SECTION_BOOST = 0.5
-SEED_CHARS = 12
-
-INDEXED = ("text", "source", "section", "parent_section", "content_type")
 TEXT_ONLY = {"text": 1.0}
-NOT_WORD = r"[^\p{L}\p{N}]+"
-
-# Phrases of a query batch up to this many are joined by broadcast (each is a
-# word of a query); larger batches go through the distinct vocabulary.
-MAX_BROADCAST_PHRASES = 50_000
-MAX_BROADCAST_BYTES = 16 << 20
-# Places and phrases meet on their first characters, at most this many.
-KEY_CHARS = 4
-
-
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, without accents."""
-    return _runs(without_accents(F.lower(text)))
-
-
-def _runs(text: Column) -> Column:
-    return F.array_remove(F.split(text, NOT_WORD), "")
 
+# Phrases of a query that give a first bound on its k-th best score.
+SEED_PHRASES = 3
+# More than scores of equal rank can differ by.
+SCORE_SLACK = 1e-4
+# Inner words of a literal query that narrow the chunks down; the text decides.
+LITERAL_WORDS = 4
 
 # ------------------------------------------------------------- index tables
 
@@ -103,114 +90,74 @@ def query_phrases(queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "phrase", "n_parts").agg(F.count(F.lit(1)).alias("repeats"))
 
 
-@dataclass(frozen=True)
-class PhraseShape:
-    """What the plan of a search has to know about its phrases."""
+def _of(chunks: DataFrame | SearchIndex, columns: Sequence[str], literal: bool = True) -> SearchIndex:
+    return chunks if isinstance(chunks, SearchIndex) else build_index(chunks, columns=columns, literal=literal)
 
-    small: bool  # few and short enough to broadcast
-    sizes: tuple[int, ...]  # lengths of their first KEY_CHARS characters
-    n_parts: int  # tokens of the longest phrase
 
+def _stored(index: SearchIndex, df: DataFrame, name: str) -> DataFrame:
+    """An intermediate table: what it is used for several times is computed once, and joins know its size."""
+    return stored(df, new_path(index.spark, name))
 
-def phrase_shape(phrases: DataFrame, max_broadcast: int = MAX_BROADCAST_PHRASES) -> PhraseShape:
-    """One job over the query batch; returns a handful of numbers."""
-    row = phrases.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.octet_length("phrase")).alias("bytes"),
-        F.array_sort(F.collect_set(F.least(F.length("phrase"), F.lit(KEY_CHARS)))).alias("sizes"),
-        F.max("n_parts").alias("n_parts"),
-    ).first()
-    small = row["n"] <= max_broadcast and (row["bytes"] or 0) <= MAX_BROADCAST_BYTES
-    return PhraseShape(small, tuple(n for n in row["sizes"] if n > 0) or (KEY_CHARS,), max(row["n_parts"] or 1, 1))
 
+# --------------------------------------------------------- terms and places
 
-def _places(chunks: DataFrame, weights: Mapping[str, float], columns: Sequence[str], n_parts: int, keep: Sequence[str]) -> DataFrame:
-    """One row per token place: the next ``n_parts`` tokens and the weight."""
-    rows = _indexed(chunks).select(
-        "chunk_id", *keep, *(tokens(F.coalesce(c, F.lit(""))).alias(f"_t{i}") for i, c in enumerate(columns))
-    )
 
-    def phrases_at(words: Column) -> Column:
-        joined = words
-        for shift in range(1, n_parts):
-            rest = F.slice(words, shift + 1, F.greatest(F.size(words) - shift, F.lit(0)))
-            joined = F.zip_with(joined, rest, lambda a, b: F.concat_ws(" ", a, b))
-        return joined
-
-    lists = [F.col(f"_t{i}") for i in range(len(columns))]
-    n_tokens = sum((F.size(words) for words in lists[1:]), F.size(lists[0]))
-    # the place's position tells its column, and so its weight
-    weight, last = F.lit(0.0), F.size(lists[0])
-    ends = [last]
-    for words in lists[1:]:
-        last = last + F.size(words)
-        ends.append(last)
-    for i in reversed(range(len(columns))):
-        weight = F.when(F.col("pos") < F.col(f"_end{i}"), float(weights.get(columns[i], 0.0))).otherwise(weight)
-    rows = rows.select(
-        "chunk_id",
-        *keep,
-        n_tokens.alias("n_tokens"),
-        *(end.alias(f"_end{i}") for i, end in enumerate(ends)),
-        F.posexplode(F.concat(*map(phrases_at, lists))).alias("pos", "place"),
-    )
-    return rows.select("chunk_id", *keep, "n_tokens", "place", weight.alias("weight"))
+def beginning_with(index: SearchIndex, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the number of each term that begins with its ``part``.
 
+    The dictionary is sorted, so these numbers are a range, found by the part's first
+    PREFIX_CHARS characters. Only for longer parts the terms themselves are compared.
+    """
+    short = F.substring("part", 1, PREFIX_CHARS).alias("prefix")
+    ranged = wanted.select("*", short).join(index.table("prefixes"), "prefix").drop("prefix")
+    numbered = ranged.select(*wanted.columns, F.explode(F.sequence("low", "high")).alias("term_no"))
+    long = F.length("part") > PREFIX_CHARS
+    exact = numbered.filter(long).join(index.table("terms").select("term_no", "term"), "term_no").filter(F.startswith("term", "part"))
+    return numbered.filter(~long).unionByName(exact.drop("term"))
 
-def _keys(place: Column, sizes: Sequence[int]) -> Column:
-    """The place's openings of the given lengths, as an array without gaps."""
-    return F.array(*(F.when(F.length(place) >= n, F.substring(place, 1, n)) for n in sizes))
 
+def _equal_to(index: SearchIndex, wanted: DataFrame) -> DataFrame:
+    terms = index.table("terms").select(F.col("term").alias("part"), "term_no")
+    return wanted.join(terms, "part")
 
-def phrase_hits(
-    chunks: DataFrame,
-    phrases: DataFrame,
-    weights: Mapping[str, float] = TEXT_ONLY,
-    columns: Sequence[str] = INDEXED,
-    keep: Sequence[str] = (),
-    max_broadcast: int = MAX_BROADCAST_PHRASES,
-    shape: PhraseShape | None = None,
-) -> DataFrame:
-    """Weighted frequency of each needed phrase in each chunk that has it.
 
-    A place matches a phrase when it starts with it. Both meet on the phrase's
-    first ``KEY_CHARS`` characters (an equi-join) and are then compared whole. A
-    proven-small phrase set is broadcast to the scan. A larger one is matched
-    against the distinct places first, and their counts are joined with the
-    result.
+def phrase_hits(index: SearchIndex, phrases: DataFrame, weights: Mapping[str, float] = TEXT_ONLY) -> DataFrame:
+    """(chunk_no, phrase, n_tokens, tf): weighted frequency of each phrase in each chunk that has it.
+
+    Parts of a phrase meet where they stand in one field at the phrase's distances: each gives
+    the place where the phrase would begin, and a place that all parts give holds it. So
+    phrases of any length take one aggregation.
     """
-    shape = shape or phrase_shape(phrases, max_broadcast)
-    needed = phrases.filter("phrase != ''").select("phrase").distinct()
-    needed = needed.withColumn("key", F.substring("phrase", 1, KEY_CHARS))
-    places = _places(chunks, weights, columns, shape.n_parts, keep)
-    about = ("n_tokens", *keep)
-    same = [F.any_value(c).alias(c) for c in about]  # one value per chunk
-    whole = F.startswith("place", "phrase")
-    if shape.small:
-        found = places.select(
-            "chunk_id", *about, "weight", "place", F.explode(_keys(F.col("place"), shape.sizes)).alias("key")
-        )
-        found = found.join(F.broadcast(needed), "key").filter(whole)
-        return found.groupBy("chunk_id", "phrase").agg(F.sum("weight").alias("tf"), *same)
-    counted = places.groupBy("chunk_id", "place").agg(F.sum("weight").alias("tf"), *same)
-    known = places.select("place").distinct()
-    matched = known.select("place", F.explode(_keys(F.col("place"), shape.sizes)).alias("key"))
-    matched = matched.join(needed, "key").filter(whole).select("place", "phrase")
-    return counted.join(matched, "place").groupBy("chunk_id", "phrase").agg(F.sum("tf").alias("tf"), *same)
+    parts = phrases.filter("phrase != ''").select("phrase", "n_parts").distinct()
+    parts = parts.select("phrase", "n_parts", F.posexplode(F.split("phrase", " ")).alias("at", "part"))
+    last = F.col("at") == F.col("n_parts") - 1
+    terms = beginning_with(index, parts.filter(last)).unionByName(_equal_to(index, parts.filter(~last)))
+    terms = _stored(index, terms.select("phrase", "n_parts", "at", "term_no"), "terms")
+    fields = [float(weights.get(c, 0.0)) for c in index.columns]
+    weight = F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1)
+    found = index.postings(terms).filter(F.col("field") != MARKS).join(terms, "term_no")
+    found = found.select("phrase", "n_parts", "at", "chunk_no", "field", "pos", "n_tokens", weight.alias("weight"))
+    sums = (F.any_value("n_tokens").alias("n_tokens"), F.sum("weight").alias("tf"))  # one length for each chunk
+    single = found.filter("n_parts = 1").groupBy("chunk_no", "phrase").agg(*sums)
+    begins = found.filter("n_parts > 1").withColumn("begin", F.col("pos") - F.col("at"))
+    begins = begins.groupBy("chunk_no", "phrase", "n_parts", "field", "begin").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("n_tokens").alias("n_tokens"), F.any_value("weight").alias("weight")
+    )
+    several = begins.filter("n = n_parts").groupBy("chunk_no", "phrase").agg(*sums)
+    return single.unionByName(several)
 
 
 # -------------------------------------------------------------------- search
 
 
 def search(
-    chunks: DataFrame,
+    chunks: DataFrame | SearchIndex,
     queries: DataFrame,
     top_k: int = 5,
     content_type: str | None = None,
     weights: Mapping[str, float] = TEXT_ONLY,
     columns: Sequence[str] = INDEXED,
     fallback: bool = True,
-    max_broadcast: int = MAX_BROADCAST_PHRASES,
 ) -> DataFrame:
     """Best chunks per query: query_id, chunk_id, score, matched_by, rank.
 
@@ -218,138 +165,135 @@ def search(
     several words without such a chunk takes chunks with any phrase, and a query
     still without an answer takes chunks whose text contains it literally.
 
-    For complete matches only the chunks with the query's rarest phrase are
-    looked at; every phrase of every chunk is scored just for queries that have
-    no complete match.
+    For complete matches only the chunks with the query's rarest phrase are looked at.
     """
-    n_words = F.size(words_of(F.col("query")))
-    phrases = query_phrases(queries)
-    shape = phrase_shape(phrases, max_broadcast)
-
-    def near(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if shape.small else df  # at most one row per phrase of a query
-
-    keep = ("content_type",) if content_type else ()
-    hits = phrase_hits(chunks, phrases, weights, columns, keep, max_broadcast, shape)
-    # every use reads tf and n_tokens, so that Spark computes the hits once
-    hits = hits.filter((F.col("tf") >= 0) & (F.col("n_tokens") >= 0))
-
-    frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    total = corpus_stats(chunks, columns).select(F.struct("n_chunks", "avg_tokens")).scalar()
-    rarity = F.log((total["n_chunks"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = frequency.select("phrase", "df", F.greatest(rarity, F.lit(MIN_IDF)).alias("idf"))
-    sizes = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_phrases"))
-    asked = phrases.filter("phrase != ''").join(near(weighted), "phrase")
-    rarest = (
-        asked.groupBy("query_id")
-        .agg(F.count(F.lit(1)).alias("n_known"), F.min_by("phrase", F.struct("df", "phrase")).alias("phrase"))
-        .join(sizes, "query_id")
-        .filter("n_known = n_phrases")
-        .select("query_id", "phrase", "n_phrases")
-    )
-
-    size = F.col("n_tokens") / total["avg_tokens"]
-    tf = F.col("tf")
-    gain = F.col("repeats") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
-    scores = (F.sum(gain).alias("score"), F.count(F.lit(1)).alias("n_matched"))
-    typed = F.col("content_type") == content_type if content_type else F.lit(True)
+    index = _of(chunks, columns, fallback)
+    n_chunks, mean = index.size()
+    phrases = _stored(index, query_phrases(queries), "phrases")
+    hits = phrase_hits(index, phrases, weights)
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / (mean or 1.0)))
+    hits = _stored(index, hits.select("chunk_no", "phrase", part.alias("part")), "hits")
+    about = index.table("chunks").select("chunk_no", "chunk_id", *(["content_type"] if content_type else []))
+    if content_type:
+        about = about.filter(F.col("content_type") == content_type).drop("content_type")
 
-    def best(scored: DataFrame, matched_by: str) -> DataFrame:
+    frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("top"))
+    rarity = F.log((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    sizes = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_phrases"))
+    asked = phrases.filter("phrase != ''").join(frequency, "phrase").join(sizes, "query_id")
+    gain = F.col("repeats") * F.greatest(rarity, F.lit(MIN_IDF))
+    asked = _stored(index, asked.select("query_id", "phrase", "df", "n_phrases", gain.alias("gain"), (gain * F.col("top")).alias("bound")), "asked")
+    known = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_known"), F.min_by("phrase", F.struct("df", "phrase")).alias("phrase"), F.any_value("n_phrases").alias("n_phrases"))
+    rarest = known.filter("n_known = n_phrases").select("query_id", "phrase")
+
+    def scored(candidates: DataFrame) -> DataFrame:
+        """Whole scores of (query_id, chunk_no)."""
+        wanted = candidates.join(asked.select("query_id", "phrase", "gain", "n_phrases"), "query_id")
+        sums = (F.sum(F.col("gain") * F.col("part")).alias("score"), F.count(F.lit(1)).alias("n_matched"))
+        return wanted.join(hits, ["chunk_no", "phrase"]).groupBy("query_id", "chunk_no", "n_phrases").agg(*sums)
+
+    def best(rows: DataFrame, matched_by: str) -> DataFrame:
         # the limit on the rank is applied inside each partition first
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "chunk_id")
-        ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+        ranked = rows.join(about, "chunk_no").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
         return ranked.select("query_id", "chunk_id", "score", F.lit(matched_by).alias("matched_by"), "rank")
 
-    candidates = hits.filter(typed).join(near(rarest), "phrase").select("query_id", "chunk_id", "n_phrases")
-    wanted = candidates.join(near(asked.select("query_id", "phrase", "repeats", "idf")), "query_id")
-    full = wanted.join(hits, ["chunk_id", "phrase"]).groupBy("query_id", "chunk_id", "n_phrases").agg(*scores)
-    full = full.filter("n_matched = n_phrases and score >= 0")
-    answered = best(full, "all")
-    if not fallback:
-        return answered
+    def allowed(rows: DataFrame) -> DataFrame:
+        return rows.join(about.select("chunk_no"), "chunk_no", "left_semi") if content_type else rows
 
-    several = queries.select("query_id", n_words.alias("n_words")).filter("n_words > 1")
+    candidates = allowed(hits.join(rarest, "phrase").select("query_id", "chunk_no"))
+    full = scored(candidates).filter("n_matched = n_phrases")
+    if not fallback:
+        return best(full, "all")
+    full = _stored(index, full.select("query_id", "chunk_no", "score"), "full")
+    several = queries.select("query_id", F.size(words_of(F.col("query"))).alias("n_words")).filter("n_words > 1")
     served = full.select("query_id").distinct()
     open_queries = several.join(served, "query_id", "left_anti").select("query_id")
-    partial = hits.filter(typed).join(near(asked.join(open_queries, "query_id", "left_semi")), "phrase")
-    partial = partial.groupBy("query_id", "chunk_id").agg(*scores).filter("n_matched > 0 and score >= 0")
+    wanted = _stored(index, asked.join(open_queries, "query_id", "left_semi"), "open")
+    partial = scored(_may_enter(index, wanted, hits, allowed, top_k)).select("query_id", "chunk_no", "score")
+    partial = _stored(index, partial, "partial")
     served = served.unionByName(partial.select("query_id").distinct())
-    rest = queries.join(served, "query_id", "left_anti")
-    literal = _containing(chunks, rest, _seed_shapes(queries), top_k, content_type)
-    return answered.unionByName(best(partial, "any")).unionByName(literal)
+    literal = _containing(index, queries.join(served, "query_id", "left_anti"), top_k, content_type)
+    return best(full, "all").unionByName(best(partial, "any")).unionByName(literal)
 
 
-def substring_search(chunks: DataFrame, queries: DataFrame, top_k: int = 5, content_type: str | None = None) -> DataFrame:
-    """Chunks whose text contains the query literally, case ignored."""
-    return _containing(chunks, queries, _seed_shapes(queries), top_k, content_type)
-
+def _may_enter(index: SearchIndex, asked: DataFrame, hits: DataFrame, allowed, top_k: int) -> DataFrame:
+    """(query_id, chunk_no) of all chunks with a phrase that can be among the ``top_k`` of a query.
 
-def _seeds(queries: DataFrame) -> DataFrame:
-    """For each query a short string that every text with the query holds.
-
-    ``pair``: two neighbouring words, not the first, as they stand in the text
-    (the second may go on there). ``word``: part of a single word. ``mark``: part
-    of a run of other characters, for a query without words. The longest choice
-    is taken, cut to ``SEED_CHARS`` characters.
+    A phrase adds at most ``bound`` to a score. Sums over a query's phrases of highest bound are scores that its chunks
+    reach at least; their k-th best is a floor. Phrases whose bounds together stay below the floor
+    cannot lift a chunk that has no other phrase, so only the chunks of the others are looked at.
     """
-    rows = queries.select("query_id", F.lower("query").alias("_q")).filter("length(_q) > 0")
-    rows = rows.withColumn("_t", _runs(F.col("_q")))
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "phrase")
+    ranked = asked.withColumn("place", F.row_number().over(by_bound))
+    seeds = ranked.filter(F.col("place") <= SEED_PHRASES).select("query_id", "phrase", "gain")
+    reached = allowed(hits.join(seeds, "phrase")).groupBy("query_id", "chunk_no").agg(F.sum(F.col("gain") * F.col("part")).alias("least"))
+    kth = Window.partitionBy("query_id").orderBy(F.desc("least"))
+    floors = reached.withColumn("place", F.row_number().over(kth)).filter(F.col("place") <= top_k)
+    floors = floors.groupBy("query_id").agg(F.min("least").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top_k)
+    rest = Window.partitionBy("query_id").orderBy("bound", "phrase").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = asked.withColumn("together", F.sum("bound").over(rest)).join(floors.select("query_id", "floor"), "query_id", "left")
+    needed = summed.filter(F.col("floor").isNull() | (F.col("together") >= F.col("floor") - SCORE_SLACK)).select("query_id", "phrase")
+    return allowed(hits.join(needed, "phrase").select("query_id", "chunk_no").distinct())
+
+
+def substring_search(chunks: DataFrame | SearchIndex, queries: DataFrame, top_k: int = 5, content_type: str | None = None) -> DataFrame:
+    """Chunks whose text contains the query literally, case ignored."""
+    return _containing(_of(chunks, INDEXED), queries, top_k, content_type)
 
-    def longest(values: Column) -> Column:
-        return F.array_max(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
 
-    inner = F.transform(
-        F.sequence(F.lit(2), F.size("_t") - 1), lambda j: F.concat_ws(" ", F.get("_t", j - 1), F.get("_t", j))
-    )
-    kind = F.when(F.size("_t") > 2, "pair").when(F.size("_t") > 0, "word").otherwise("mark")
-    seed = F.when(F.size("_t") > 2, longest(inner)).when(F.size("_t") > 0, longest(F.col("_t"))).otherwise(F.col("_q"))
-    return rows.select("query_id", "_q", kind.alias("kind"), F.substring(seed, 1, SEED_CHARS).alias("seed"))
+def _holding(index: SearchIndex, needles: DataFrame) -> DataFrame:
+    """(query_id, term_no) of the terms and marks that contain the query's ``needle``.
 
+    All grams of a needle must be in the term; those with its rarest gram are compared.
+    """
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    grams = F.array_distinct(F.filter(grams_of(F.col("needle")), lambda g: F.length(g) == size))
+    rows = needles.select("query_id", "needle", F.explode(grams).alias("gram")).join(index.table("gram_counts"), "gram")
+    rarest = rows.groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("n_terms", "gram")).alias("gram"))
+    terms = index.table("terms").select("term_no", "term")
+    return rarest.join(index.table("grams"), "gram").join(terms, "term_no").filter(F.contains("term", "needle")).select("query_id", "term_no")
 
-def _seed_shapes(queries: DataFrame) -> dict[str, list[int]]:
-    """Seed lengths per kind: at most three times ``SEED_CHARS`` numbers."""
-    shapes = _seeds(queries).select("kind", F.length("seed").alias("n")).distinct().collect()
-    return {kind: sorted(r["n"] for r in shapes if r["kind"] == kind) for kind in ("pair", "word", "mark")}
 
+def _containing(index: SearchIndex, queries: DataFrame, top_k: int, content_type: str | None) -> DataFrame:
+    """Chunks are narrowed down by postings, and only the survivors' texts are read and compared.
 
-def _containing(
-    chunks: DataFrame, queries: DataFrame, shapes: Mapping[str, list[int]], top_k: int, content_type: str | None
-) -> DataFrame:
-    """Texts and queries meet on the seeds, so that the literal comparison is
-    made only where a text holds the query's seed."""
+    A text with the query holds the query's inner words whole and side by side; of these
+    the rarest are looked for. With two words the second one begins a term of the text, a single word
+    or a run of other characters lies inside a term or a run.
+    """
+    asked = queries.select("query_id", F.lower("query").alias("_q")).filter("length(_q) > 0")
+    asked = asked.select("query_id", "_q", tokens(F.col("_q")).alias("_t"), F.rlike("_q", F.lit(WORD)).alias("_word"))
+    asked = _stored(index, asked, "asked")
+    n = F.size("_t")
+    fields = F.col("field").isin(index.columns.index("text"), MARKS)
+
+    inner = asked.filter(n > 2).select("query_id", (n - 2).alias("n_inner"), F.posexplode(F.slice("_t", 2, n - 2)).alias("at", "part"))
+    counts = index.table("terms").select(F.col("term").alias("part"), "term_no", "n_places")
+    inner = inner.join(counts, "part")
+    of_query = Window.partitionBy("query_id")
+    rare_first = of_query.orderBy("n_places", "at")
+    inner = inner.withColumn("n_known", F.count(F.lit(1)).over(of_query)).filter("n_known = n_inner")
+    inner = inner.withColumn("place", F.row_number().over(rare_first)).filter(F.col("place") <= LITERAL_WORDS)
+    runs = inner.select("query_id", "term_no", "at", F.least("n_inner", F.lit(LITERAL_WORDS)).alias("n_parts"))
+    pairs = beginning_with(index, asked.filter(n == 2).select("query_id", F.get("_t", F.lit(1)).alias("part"))).select("query_id", "term_no")
+    needle = F.when(F.col("_word"), F.get("_t", F.lit(0))).otherwise(F.col("_q")).alias("needle")
+    single = _holding(index, asked.filter((n == 1) | ~F.col("_word")).select("query_id", needle))
+    one = pairs.unionByName(single).select("query_id", "term_no", F.lit(0).alias("at"), F.lit(1).alias("n_parts"))
+    wanted = _stored(index, runs.unionByName(one), "wanted")
+
+    found = index.postings(wanted).filter(fields).join(wanted, "term_no")
+    begins = found.groupBy("query_id", "chunk_no", "n_parts", "field", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"))
+    # of a query with one part several terms may stand at one place
+    candidates = begins.filter("n >= n_parts").select("query_id", "chunk_no").distinct()
+    candidates = _stored(index, candidates.join(asked.select("query_id", "_q"), "query_id"), "candidates")
+    texts = index.table("chunks")
     if content_type:
-        chunks = chunks.filter(F.col("content_type") == content_type)
-
-    def opening(value: Column, sizes: list[int]) -> Column:
-        fitting = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(value))
-        return F.transform(fitting, lambda n: F.substring(value, F.lit(1), n))
-
-    def inside(value: Column, sizes: list[int]) -> Column:
-        starts = F.sequence(F.lit(1), F.length(value))
-        return F.flatten(F.transform(starts, lambda i: opening(F.substring(value, i, F.lit(SEED_CHARS)), sizes)))
-
-    def keyed(kind: str, values: Column) -> Column:
-        found = F.array_distinct(F.flatten(values))
-        return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("seed")))
-
-    text = F.col("_text")
-    words = _runs(text)
-    marks = F.filter(F.split(text, r"[\p{L}\p{N}]+"), lambda m: m != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    parts = []
-    if shapes["pair"]:
-        parts.append(keyed("pair", F.transform(pairs, lambda v: opening(v, shapes["pair"]))))
-    if shapes["word"]:
-        parts.append(keyed("word", F.transform(F.array_distinct(words), lambda v: inside(v, shapes["word"]))))
-    if shapes["mark"]:
-        parts.append(keyed("mark", F.transform(F.array_distinct(marks), lambda v: inside(v, shapes["mark"]))))
-    seeds = F.concat(*parts) if parts else F.array().cast("array<struct<kind:string,seed:string>>")
-    rows = _indexed(chunks).select("chunk_id", F.lower("text").alias("_text"))
-    rows = rows.select("chunk_id", "_text", F.inline(seeds))
-    found = rows.join(_seeds(queries), ["kind", "seed"]).filter(F.contains("_text", "_q"))
+        texts = texts.filter(F.col("content_type") == content_type)
+    matched = texts.select("chunk_no", "chunk_id", "text").join(candidates, "chunk_no").filter(F.contains(F.lower("text"), F.col("_q")))
     order = Window.partitionBy("query_id").orderBy("chunk_id")
     return (
-        found.select("query_id", "chunk_id")
+        matched.select("query_id", "chunk_id")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= top_k)
         .select("query_id", "chunk_id", F.lit(SUBSTRING_SCORE).alias("score"), F.lit("substring").alias("matched_by"), "rank")
@@ -357,7 +301,7 @@ def _containing(
 
 
 def retrieve(
-    chunks: DataFrame,
+    chunks: DataFrame | SearchIndex,
     queries: DataFrame,
     top_k: int = 5,
     weights: Mapping[str, float] = TEXT_ONLY,
@@ -367,28 +311,31 @@ def retrieve(
 
     ``queries`` has query_id, query and optionally include_types and
     prefer_sections (arrays). Filter and boost come before the only cut, so with
-    either of them every matching chunk is ranked; chunk columns are joined to what
-    the search found.
+    either of them every matching chunk is ranked, by its type and section alone;
+    texts are joined to what is left after the cut.
     """
     wishes = [c for c in ("include_types", "prefer_sections") if c in queries.columns]
-    found = search(chunks, queries, NO_CUT if wishes else top_k, weights=weights, columns=columns)
+    index = _of(chunks, columns)
+    rows = search(index, queries, NO_CUT if wishes else top_k, weights=weights)
+    details = index.table("chunks")
     if wishes:
-        found = found.join(queries.select("query_id", *wishes), "query_id")
-    details = chunks.select("chunk_id", "text", "source", "section", "parent_section", "content_type")
-    rows = found.drop("rank").join(details, "chunk_id")
-    if "include_types" in wishes:
-        open_to_all = F.coalesce(F.size("include_types"), F.lit(0)) <= 0
-        rows = rows.filter(open_to_all | F.array_contains("include_types", F.col("content_type")))
-    if "prefer_sections" in wishes:
-        section = F.lower("section")
-        preferred = F.filter(
-            F.coalesce("prefer_sections", F.array().cast("array<string>")),
-            lambda p: F.contains(section, F.lower(p)),
-        )
-        rows = rows.withColumn("score", F.col("score") + SECTION_BOOST * F.size(preferred))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "chunk_id")
-    rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
-    return rows.select(
+        narrow = details.select("chunk_id", "section", "content_type")
+        rows = rows.drop("rank").join(queries.select("query_id", *wishes), "query_id").join(narrow, "chunk_id")
+        if "include_types" in wishes:
+            open_to_all = F.coalesce(F.size("include_types"), F.lit(0)) <= 0
+            rows = rows.filter(open_to_all | F.array_contains("include_types", F.col("content_type")))
+        if "prefer_sections" in wishes:
+            section = F.lower("section")
+            preferred = F.filter(
+                F.coalesce("prefer_sections", F.array().cast("array<string>")),
+                lambda p: F.contains(section, F.lower(p)),
+            )
+            rows = rows.withColumn("score", F.col("score") + SECTION_BOOST * F.size(preferred))
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "chunk_id")
+        rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    rows = _stored(index, rows.select("query_id", "rank", "chunk_id", "score", "matched_by"), "ranked")
+    shown = details.select("chunk_id", "source", "section", "parent_section", "content_type", "text")
+    return rows.join(shown, "chunk_id").select(
         "query_id", "rank", "chunk_id", "source", "section", "parent_section", "content_type", "text", "score", "matched_by"
     )
 

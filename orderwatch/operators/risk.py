@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import category_level, half_even, percent, score_level
+from ..functions import category_level, exact, exact_ratio, half_even, percent, score_level
 from .marts import (
+    RATIO_PLACES,
     Tables,
     items_per_order,
     order_states,
@@ -265,6 +266,10 @@ def category_quality_risk(
         wanted = F.col("product_category_name").contains(category)
         tables = {**tables, "products": tables["products"].filter(wanted)}
     defects, reviewed = F.sum("defect_signals"), F.sum("reviewed_orders")
+
+    def mean(name: str) -> Column:
+        return exact_ratio(F.sum(exact(F.col(name), RATIO_PLACES)), F.count(name))
+
     rolled = (
         product_quality_metrics(tables, start, end)
         .groupBy("product_category_name")
@@ -272,9 +277,9 @@ def category_quality_risk(
             F.count("product_id").alias("product_count"),
             F.sum("total_orders").alias("total_orders"),
             defects.alias("total_defects"),
-            F.avg("avg_review_score").alias("category_avg_score"),
+            mean("avg_review_score").alias("category_avg_score"),
             percent(defects, reviewed).alias("defect_rate_pct"),
-            F.avg("avg_unit_price").alias("avg_price"),
+            mean("avg_unit_price").alias("avg_price"),
         )
     )
     return rolled.select(

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import percent
-from ..session import cut_lineage
+from ..functions import percent, ratio
 
 TASK_SCHEMA = (
     "task_id string, task_type string, priority string, status string, target_id string, title string, "
@@ -78,13 +77,13 @@ def number_tasks(new: DataFrame, existing: DataFrame | None = None, prefix: str
 
     Numbers are dense per day and follow the md5 of the task's content. A day is
     cut into buckets by that md5: ranks are taken inside a bucket and shifted by
-    the sizes of the buckets before it, so no task ever sorts a whole day. Ranks
-    and sizes must describe the same rows: the candidates, which are few next to
-    the data they come from, are checkpointed first.
+    the sizes of the buckets before it, so no task ever sorts a whole day. Bucket and
+    rank depend on the content alone, so a part that is computed again, after a lost
+    executor or for the sizes, gets the same numbers and nothing has to be stored.
     """
     content = F.md5(F.concat_ws("|", "target_id", "task_type", "priority", "title"))
     rows = new.withColumns({"id_day": _day(), "id_hash": content})
-    rows = cut_lineage(rows.withColumn("id_bucket", F.substring("id_hash", 1, ID_BUCKETS)))
+    rows = rows.withColumn("id_bucket", F.substring("id_hash", 1, ID_BUCKETS))
     in_bucket = Window.partitionBy("id_day", "id_bucket").orderBy("id_hash", "description", "assignee")
     ranked = rows.withColumn("id_rank", F.row_number().over(in_bucket))
     before = Window.partitionBy("id_day").orderBy("id_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -326,7 +325,7 @@ def sla_state(tasks: DataFrame, as_of: str) -> DataFrame:
 def task_month_stats(tasks: DataFrame, as_of: str) -> DataFrame:
     """Created, resolved in time, resolve hours and escalations per month."""
     rows = sla_state(tasks, as_of).withColumn("month", F.trunc("created_at", "month"))
-    hours = (F.unix_seconds("resolved_at") - F.unix_seconds("created_at")) / 3600.0
+    seconds = F.unix_seconds("resolved_at") - F.unix_seconds("created_at")
     in_time = F.col("resolved_at").isNotNull() & ~F.col("resolve_breach")
     escalated = F.col("priority").isin("P0", "P1") & F.col("escalate_to").isNotNull()
     created = F.count(F.lit(1))
@@ -334,7 +333,7 @@ def task_month_stats(tasks: DataFrame, as_of: str) -> DataFrame:
         created.alias("n_created"),
         F.count("resolved_at").alias("n_resolved"),
         percent(F.count_if(in_time), created).alias("in_sla_pct"),
-        F.avg(hours).alias("avg_resolve_hours"),
+        (ratio(F.sum(seconds), F.count(seconds)) / 3600.0).alias("avg_resolve_hours"),
         percent(F.count_if(escalated), created).alias("escalated_pct"),
     )
 

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import half_even
 
-def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    """Round averages and sums, whose last bits depend on the order of addition.
 
-    A third of the next digit is added first: exact ties, which are frequent in
-    means of prices, then go up however the sum was ordered.
-    """
-    nudge = float(f"3e-{digits + 2}")
-    return df.withColumns({n: F.round(F.col(n) + F.lit(nudge), digits) for n in names})
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """Round the stored binary value, ties to even, as both engines do when they print it."""
+    return df.withColumns({n: half_even(F.col(n), digits) for n in names})
 
 
 def clock(name: str) -> Column:
@@ -83,13 +80,17 @@ def share(part: str, whole: str) -> str:
     return f"round({part} * 100.0 / nullif({whole}, 0), 2)"
 
 
-def steady(value: str, digits: int) -> str:
-    """The SQL form of :func:`rounded`."""
-    return f"round({value} + 3e-{digits + 2}::DOUBLE, {digits})"
+def exact_sum(value: str, places: int = 6) -> str:
+    """A sum that does not depend on the order of addition."""
+    return f"CAST(sum(CAST({value} AS DECIMAL(28, {places}))) AS DOUBLE)"
+
+
+def exact_mean(value: str, places: int = 6) -> str:
+    return f"({exact_sum(value, places)} / nullif(count({value}), 0))"
 
 
 def nearest(value: str, digits: int) -> str:
-    """Round the stored binary value, ties to even."""
+    """The SQL form of :func:`rounded`."""
     return f"CAST(format('{{:.{digits}f}}', CAST({value} AS DOUBLE)) AS DOUBLE)"
 
 
@@ -101,7 +102,7 @@ def delivery_sql(keys: str) -> str:
                {canceled} AS canceled_orders, avg(delay) AS avg_delivery_delay_days,
                {share("count(DISTINCT order_id) FILTER (late)", delivered)} AS delay_rate_pct,
                {share(canceled, "count(DISTINCT order_id)")} AS cancel_rate_pct,
-               avg(price) AS avg_price, sum(price) AS total_revenue, max(delay) AS max_delivery_delay_days
+               {exact_mean("price")} AS avg_price, {exact_sum("price")} AS total_revenue, max(delay) AS max_delivery_delay_days
         FROM m_shipped GROUP BY {keys}"""
 
 
@@ -126,7 +127,7 @@ def product_sql(period: bool = False, where: str = "true") -> str:
         SELECT p.product_id, p.category, p.weight, p.photos{month}, count(DISTINCT i.order_id) AS total_orders,
                count(DISTINCT r.order_id) AS reviewed_orders, avg(r.score) AS avg_review_score,
                {bad} AS defect_signals, {share(bad, "count(DISTINCT r.order_id)")} AS defect_rate_pct,
-               avg(i.price) AS avg_unit_price
+               {exact_mean("i.price")} AS avg_unit_price
         FROM m_items i JOIN m_products p USING (product_id) JOIN m_orders o USING (order_id)
              LEFT JOIN m_reviews r USING (order_id)
         WHERE {where} GROUP BY {keys}"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import marts, policy, tasks
 from ..sources.star import load_star
-from .base import delivery_sql, product_sql, query_sql, review_sql, rounded, share, steady
+from .base import delivery_sql, nearest, product_sql, query_sql, review_sql, rounded, share
 
 AS_OF = "1999-06-30"
 MIN_SAMPLE = 540
@@ -242,7 +242,7 @@ ORACLES = {
     "region_evidence": query_sql(
         f"""SELECT *, {share("n_orders", "sum(n_orders) OVER (PARTITION BY seller_id)")} AS share_pct
             FROM (SELECT seller_id, c.state AS customer_state, count(*) AS n_orders, count(*) FILTER (late) AS n_late,
-                         {steady("avg(delay)", 6)} AS avg_delay_days
+                         {nearest("avg(delay)", 6)} AS avg_delay_days
                   FROM (SELECT DISTINCT seller_id, order_id, customer_id, late, delay FROM m_shipped
                         WHERE purchased > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND purchased <= TIMESTAMP '{AS_OF}') t
                        JOIN d USING (seller_id) LEFT JOIN m_customers c USING (customer_id)

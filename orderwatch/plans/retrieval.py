@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, evaluation, retrieval
+from ..operators.index import build_index, open_index
 from ..sources.star import read_table
-from .base import rounded, steady
+from .base import nearest, rounded
 from .documents import DOCUMENT_CHUNKS, page_chunk_views, pages, recursive, texts
 
 TOP_K = 5
@@ -43,9 +44,9 @@ def bm25_with_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_vocabulary_path(spark: SparkSession, folder: str) -> DataFrame:
-    """The plan for query batches too large to broadcast, on the same input."""
-    rows = retrieval.search(_chunks(spark, folder), queries(spark, folder), TOP_K, max_broadcast=0)
-    return _scored(rows)
+    """The same search over an index that is written once and opened by its path."""
+    path = build_index(_chunks(spark, folder)).path
+    return _scored(retrieval.search(open_index(spark, path), queries(spark, folder), TOP_K))
 
 
 def substring_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +152,7 @@ def search_views(chunks: str, top_k: int) -> dict[str, str]:
     }
 
 
-_SCORE = f"{steady('score', 5)} AS score"
+_SCORE = f"{nearest('score', 5)} AS score"
 _SEARCH = DOCUMENT_CHUNKS | search_views("doc_chunks", TOP_K)
 _ANSWERS = f"SELECT query_id, chunk_id, {_SCORE}, matched_by, CAST(rank AS INTEGER) AS rank FROM answers"
 _FOUND = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS place FROM answers JOIN doc_chunks USING (chunk_id)"
@@ -169,7 +170,7 @@ ORACLES = {
         ),
     ),
     "corpus_stats": recursive(
-        f"SELECT count(*) AS n_chunks, {steady('avg(n_tokens)', 6)} AS avg_tokens FROM sized", **_SEARCH
+        f"SELECT count(*) AS n_chunks, {nearest('avg(n_tokens)', 6)} AS avg_tokens FROM sized", **_SEARCH
     ),
     "bm25_topk": recursive(f"{_ANSWERS} WHERE matched_by = 'all'", **_SEARCH),
     "bm25_with_fallback": recursive(_ANSWERS, **_SEARCH),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import marts, risk
 from ..sources.audit import catalog_counts as count_catalog
 from ..sources.star import load_star
-from .base import clock, delivery_sql, nearest, product_sql, query_sql, review_sql, rounded, steady
+from .base import clock, delivery_sql, exact_mean, exact_sum, nearest, product_sql, query_sql, review_sql, rounded
 
 WINDOW = ("1997-01-01", "1999-12-31")
 HEAVY_DELAY = risk.RiskWeights(delay_rate=0.7, low_review_rate=0.1, cancel_rate=0.1, freight_ratio=0.1)
@@ -123,7 +123,7 @@ QUERIES = {
 # ------------------------------------------------------------------ SQL twins
 
 _LATEST = "SELECT order_id, arg_max(score, (created, review_id)) AS review_score FROM m_reviews GROUP BY order_id"
-_PAID = """SELECT order_id, sum(paid) AS total_payment, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS payment_types
+_PAID = f"""SELECT order_id, {exact_sum("paid")} AS total_payment, string_agg(DISTINCT kind, ', ' ORDER BY kind) AS payment_types
            FROM m_payments GROUP BY order_id"""
 _IN_WINDOW = f"purchased BETWEEN TIMESTAMP '{WINDOW[0]}' AND TIMESTAMP '{WINDOW[1]}'"
 _STATE = """
@@ -138,8 +138,8 @@ def _text(column: str, name: str) -> str:
 def _delivery(keys: str, columns: str) -> str:
     return query_sql(
         f"""SELECT {columns}, total_orders, delivered_orders, canceled_orders,
-                   {steady("avg_delivery_delay_days", 6)} AS avg_delivery_delay_days, delay_rate_pct, cancel_rate_pct,
-                   {steady("avg_price", 6)} AS avg_price, {steady("total_revenue", 4)} AS total_revenue FROM d""",
+                   {nearest("avg_delivery_delay_days", 6)} AS avg_delivery_delay_days, delay_rate_pct, cancel_rate_pct,
+                   {nearest("avg_price", 6)} AS avg_price, {nearest("total_revenue", 4)} AS total_revenue FROM d""",
         d=delivery_sql(keys),
     )
 
@@ -164,7 +164,7 @@ def _scores(weights: risk.RiskWeights, window: str, everywhere: bool, tail: str)
         d=delivery_sql("seller_id, city, state").replace("m_shipped", scope),
         rated=rated if everywhere else "SELECT * FROM m_rated",
         r=review_sql("seller_id", "rated"),
-        f=f"SELECT seller_id, avg(freight / nullif(price, 0)) AS ratio FROM m_shipped WHERE {window} GROUP BY seller_id",
+        f=f"SELECT seller_id, {exact_mean("freight / nullif(price, 0)", 12)} AS ratio FROM m_shipped WHERE {window} GROUP BY seller_id",
         rates="""SELECT seller_id, city, state, total_orders, coalesce(delay_rate_pct, 0) AS delay,
                         coalesce(cancel_rate_pct, 0) AS cancel, coalesce(negative_review_rate_pct, 0) AS low,
                         coalesce(ratio, 0) AS freight, coalesce(avg_delivery_delay_days, 0) AS days
@@ -189,8 +189,8 @@ def _category(where: str) -> str:
     return query_sql(
         f"""SELECT category AS product_category_name, count(*) AS product_count,
                    CAST(sum(total_orders) AS BIGINT) AS total_orders, CAST(sum(defect_signals) AS BIGINT) AS total_defects,
-                   {zero("avg(avg_review_score)")} AS category_avg_score, {rate} AS defect_rate_pct,
-                   {zero("avg(avg_unit_price)")} AS avg_price,
+                   {zero(exact_mean("avg_review_score", 12))} AS category_avg_score, {rate} AS defect_rate_pct,
+                   {zero(exact_mean("avg_unit_price", 12))} AS avg_price,
                    CASE WHEN {rate} >= 40 THEN 'P0' WHEN {rate} >= 20 THEN 'P1' WHEN {rate} >= 10 THEN 'P2'
                         ELSE 'P3' END AS risk_level
             FROM q GROUP BY category""",
@@ -232,7 +232,7 @@ ORACLES = {
                    {_text("arrived", "order_delivered_carrier_date")},
                    {_text("arrived", "order_delivered_customer_date")},
                    {_text("promised", "order_estimated_delivery_date")}, delay AS delivery_delay_days,
-                   {steady("total_payment", 6)} AS total_payment, payment_types, review_score
+                   {nearest("total_payment", 6)} AS total_payment, payment_types, review_score
             FROM s o LEFT JOIN m_customers c USING (customer_id)""",
         paid=_PAID, latest=_LATEST, s=_STATE,
     ),
@@ -241,20 +241,20 @@ ORACLES = {
     ),
     "state_delay_compare": _delivery("state", "state AS seller_state"),
     "review_risk_metrics": query_sql(
-        f"""SELECT seller_id, reviewed_orders, {steady("avg_review_score", 6)} AS avg_review_score, negative_reviews,
+        f"""SELECT seller_id, reviewed_orders, {nearest("avg_review_score", 6)} AS avg_review_score, negative_reviews,
                   positive_reviews, negative_review_rate_pct,
-                  {steady("avg_review_response_days", 6)} AS avg_review_response_days, worst_review_score FROM r""",
+                  {nearest("avg_review_response_days", 6)} AS avg_review_response_days, worst_review_score FROM r""",
         r=review_sql("seller_id"),
     ),
     "product_quality_metrics": query_sql(
         f"""SELECT product_id, category AS product_category_name, total_orders, reviewed_orders,
-                  {steady("avg_review_score", 6)} AS avg_review_score, defect_signals, defect_rate_pct,
-                  {steady("avg_unit_price", 6)} AS avg_unit_price, CAST(weight AS DOUBLE) AS weight_g, photos AS photos_qty
+                  {nearest("avg_review_score", 6)} AS avg_review_score, defect_signals, defect_rate_pct,
+                  {nearest("avg_unit_price", 6)} AS avg_unit_price, CAST(weight AS DOUBLE) AS weight_g, photos AS photos_qty
            FROM q""",
         q=product_sql(),
     ),
     "freight_ratio": query_sql(
-        f"""SELECT seller_id, {steady("avg(freight / nullif(price, 0))", 6)} AS avg_freight_ratio
+        f"""SELECT seller_id, {nearest(exact_mean("freight / nullif(price, 0)", 12), 6)} AS avg_freight_ratio
             FROM m_items JOIN m_orders USING (order_id) WHERE {_IN_WINDOW} GROUP BY seller_id"""
     ),
     "top_risky_sellers": _scores(risk.RiskWeights(), "true", False, f"{_RANK} LIMIT 10"),

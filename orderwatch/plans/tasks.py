@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import policy, tasks
 from ..sources.star import load_star
-from .base import clock, query_sql, rounded, share, steady
+from .base import clock, nearest, query_sql, rounded, share
 from .policy import TASK_VIEWS, candidates, seller_months
 
 AS_OF = "2001-08-02 12:00:00"
@@ -353,7 +353,7 @@ ORACLES = {
         f"""SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, task_type, priority, count(*) AS n_created,
                    count(resolved_at) AS n_resolved,
                    {share("count(*) FILTER (resolved_at IS NOT NULL AND NOT resolve_breach)", "count(*)")} AS in_sla_pct,
-                   {steady("avg(date_diff('second', created_at, resolved_at) / 3600.0)", 6)} AS avg_resolve_hours,
+                   {nearest("sum(date_diff('second', created_at, resolved_at)) / nullif(count(resolved_at), 0)::DOUBLE / 3600.0", 6)} AS avg_resolve_hours,
                    {share(f"count(*) FILTER (priority IN ('P0', 'P1') AND {_ESCALATE} IS NOT NULL)", "count(*)")} AS escalated_pct
             FROM sla GROUP BY 1, 2, 3""",
         sla=_SLA,

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from orderwatch.functions import exact
 from orderwatch.operators import marts
+from orderwatch.plans import QUERIES
 
 
 def with_rows(df, spark, *new):
@@ -154,3 +158,28 @@ def test_plans_expand_nothing_and_multiply_nothing(spark, star_folder):
     assert text.count("Exchange hashpartitioning(order_id") == 3
     scan = next(line for line in text.splitlines() if "lineitem.parquet" in line)
     assert "l_shipdate" not in scan and "l_tax" not in scan
+
+
+def test_sums_do_not_depend_on_the_order_of_addition(spark):
+    values = [0.1, 0.2, 0.3, 1e9 + 0.01, 3.335, 1e-6, 7e14, 0.7] * 40
+    seen = set()
+    for shuffle in (1, 7, 41):
+        df = spark.createDataFrame([(v,) for v in values[shuffle:] + values[:shuffle]], "v double").repartition(shuffle)
+        seen.add(df.agg(F.sum(exact(F.col("v"))).cast("double")).first()[0])
+    assert seen == {float(sum(Decimal(repr(v)) for v in values))}
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e30,), (None,), (2.0000005,)], "v double")
+    assert [r[0] for r in odd.select(exact(F.col("v")).cast("double")).collect()] == [None, None, None, None, 2.000001]
+
+
+def test_shown_texts_are_the_same_for_any_partitioning(spark, star_folder):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for partitions in ("1", "8", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            seen.append(sorted(map(str, QUERIES["auto_tasks"](spark, star_folder).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert seen[0] and seen[0] == seen[1] == seen[2]

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from orderwatch.operators import retrieval
+from orderwatch.operators.index import build_index, open_index
 
 CHUNK_SCHEMA = "chunk_id string, text string, source string, section string, parent_section string, content_type string"
 CHUNKS = [
@@ -104,14 +106,18 @@ def chunks(spark):
     return spark.createDataFrame(CHUNKS, CHUNK_SCHEMA).cache()
 
 
+@pytest.fixture(scope="module")
+def index(chunks):
+    return build_index(chunks)
+
+
 @pytest.fixture(scope="module")
 def queries(spark):
     return spark.createDataFrame(QUERIES, "query_id long, query string").cache()
 
 
-@pytest.mark.parametrize("limit", [retrieval.MAX_BROADCAST_PHRASES, 0])
-def test_search_against_brute_force(chunks, queries, limit):
-    found = answers_of(retrieval.search(chunks, queries, 3, max_broadcast=limit), QUERIES)
+def test_search_against_brute_force(chunks, queries):
+    found = answers_of(retrieval.search(chunks, queries, 3), QUERIES)
     assert found == brute_force(CHUNKS, QUERIES, 3)
 
 
@@ -192,11 +198,49 @@ def test_index_tables(chunks):
     assert stats.n_chunks == 6 and stats.avg_tokens == pytest.approx(sum(lengths) / 6)
 
 
-def test_text_is_not_shuffled(chunks, queries):
-    hits = retrieval.phrase_hits(chunks.select("*"), retrieval.query_phrases(queries))
-    text = hits._jdf.queryExecution().executedPlan().toString()
-    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning(chunk_id" in line]
-    assert len(exchanges) == 1 and "text" not in exchanges[0] and "Cartesian" not in text and "NestedLoop" not in text
+def test_search_reads_the_index_only(spark, index, queries):
+    """No plan of a search splits a text, and texts are read for literal candidates alone."""
+    found = retrieval.search(open_index(spark, index.path), queries, 3)
+    assert answers_of(found, QUERIES) == brute_force(CHUNKS, QUERIES, 3)
+    hits = retrieval.phrase_hits(index, retrieval.query_phrases(queries))
+    for df in (found, hits):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+        assert not any("split(" in line and "text#" in line for line in plan.splitlines())
+    ranked = retrieval.search(index, queries, 3, fallback=False)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in ranked.replace("/tmp", "")
+
+
+def test_numbers_follow_the_sorted_terms(spark, index):
+    terms = index.table("terms").orderBy("term").collect()
+    assert [r.term_no for r in terms] == list(range(len(terms)))
+    for r in index.table("prefixes").collect():
+        assert [t.term_no for t in terms if t.term.startswith(r.prefix)] == list(range(r.low, r.high + 1))
+
+
+def test_a_word_of_many_parts(spark):
+    parts = [f"p{k % 40}" for k in range(150)]
+    long = "x" * 40
+    texts = ["-".join(parts), " ".join(parts[:149]) + " p2", " ".join(parts) + "9", f"{long}abc tail", f"{long}abd"]
+    rows = [(f"c{k}", t, "s", "", "", "paragraph") for k, t in enumerate(texts)]
+    asked = [(1, "_".join(parts)), (2, f"{long}ab"), (3, f"{long}abd"), (4, "_".join(parts[:30])), (5, f"{long[:33]}")]
+    df = spark.createDataFrame(asked, "query_id long, query string")
+    assert answers_of(retrieval.search(spark.createDataFrame(rows, CHUNK_SCHEMA), df, 5), asked) == brute_force(rows, asked, 5)
+
+
+def test_pruned_answers_to_any_word_are_complete(spark):
+    """Many chunks with some of the words, none with all: the best are those of a full scan."""
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(60)]
+    weights = [1 / (k + 1) for k in range(60)]
+    rows = [(f"c{k:03d}", " ".join(rng.choices(vocabulary, weights, k=rng.randrange(2, 30))), f"s{k % 3}", "", "", ["rule", "example"][k % 2]) for k in range(300)]
+    asked = [(q, " ".join({f"{w} " for w in rng.sample(vocabulary, 9)}) + "missing") for q in range(12)]
+    df = spark.createDataFrame(asked, "query_id long, query string")
+    index = build_index(spark.createDataFrame(rows, CHUNK_SCHEMA))
+    for top_k in (1, 4, 400):
+        assert answers_of(retrieval.search(index, df, top_k), asked) == brute_force(rows, asked, top_k)
+    typed = retrieval.search(index, df, 3, content_type="rule")
+    assert answers_of(typed, asked) == brute_force(rows, asked, 3, content_type="rule")
 
 
 def test_no_queries(spark, chunks):
