@@ -2,9 +2,10 @@
 
 The texts are tokenised once, when the index is built; a search reads the tables only.
 
-- ``chunks``: the chunks that have text, each with a number and its length in tokens.
+- ``chunks``: the chunks that have text, each with a number; ``lengths``: their tokens;
+  ``totals``: both summed up.
 - ``terms``: every term with its rank in sorted order (``term_no``), so all terms with a
-  common beginning have neighbouring numbers; chunks and places it occurs in.
+  common beginning have neighbouring numbers, and its number of places.
 - ``prefixes``: the range of term numbers of each beginning of up to PREFIX_CHARS characters.
 - ``postings``: a row for each place of each term, in the order of terms and chunks. A filter on
   term numbers skips row groups and pages of other terms by their statistics.
@@ -61,8 +62,8 @@ class SearchIndex:
 
     def size(self) -> tuple[int, float | None]:
         """Number of chunks and their mean length in tokens."""
-        row = self.table("chunks").agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
-        return row.n, row.mean
+        row = self.table("totals").first()
+        return row.n_chunks, row.n_tokens / row.n_chunks if row.n_chunks else None
 
     def postings(self, wanted: DataFrame) -> DataFrame:
         """The postings of ``wanted``'s term numbers and a few others; the exact choice is left to a join.
@@ -81,6 +82,13 @@ class SearchIndex:
         return terms.filter(inside)
 
 
+def modified(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Time of the last change and length of a file or folder, wherever it lives."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target)
+    return status.getModificationTime(), status.getLen()
+
+
 def open_index(spark: SparkSession, path: str) -> SearchIndex:
     fields = spark.read.parquet(f"{path}/fields").orderBy("field").collect()
     return SearchIndex(spark, path, tuple(r.name for r in fields))
@@ -99,29 +107,28 @@ def build_index(chunks: DataFrame, path: str | None = None, columns: Sequence[st
     spark.createDataFrame(list(enumerate(columns)), "field int, name string").coalesce(1).write.parquet(f"{path}/fields")
     kept = list(dict.fromkeys(["chunk_id", *columns, "text"]))
     rows = chunks.filter(~is_blank(F.col("text"))).select(F.monotonically_increasing_id().alias("chunk_no"), *kept)
-    rows.write.option("parquet.block.size", CHUNK_GROUP_BYTES).parquet(f"{path}/plain")
-    plain = spark.read.parquet(f"{path}/plain")
-    lists = plain.select("chunk_no", *(tokens(F.coalesce(c, F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)))
-    counted = sum((F.size(f"t{i}") for i in range(len(columns))), F.lit(0)).alias("n_tokens")
+    rows.write.option("parquet.block.size", CHUNK_GROUP_BYTES).parquet(f"{path}/chunks")
+    plain = spark.read.parquet(f"{path}/chunks")
 
-    def places(i: int) -> Column:
-        return F.transform(f"t{i}", lambda t, pos: F.struct(t.alias("term"), F.lit(i).cast("byte").alias("field"), pos.alias("pos")))
+    def places(field: int, found: Column) -> DataFrame:
+        return plain.select("chunk_no", F.lit(field).cast("byte").alias("field"), F.posexplode(found).alias("pos", "term"))
 
-    every = F.flatten(F.array(*(places(i) for i in range(len(columns)))))
-    occurrences = lists.select("chunk_no", counted, F.inline(every))
+    parts = [places(i, tokens(F.coalesce(c, F.lit("")))) for i, c in enumerate(columns)]
     if literal:
-        marks = F.array_distinct(F.array_remove(F.split(F.lower("text"), WORD), ""))
-        found = plain.select("chunk_no", F.lit(0).alias("n_tokens"), F.explode(marks).alias("term"))
-        occurrences = occurrences.unionByName(found.select("*", F.lit(MARKS).cast("byte").alias("field"), F.lit(0).alias("pos")))
+        parts.append(places(MARKS, F.array_distinct(F.array_remove(F.split(F.lower("text"), WORD), ""))))
+    occurrences = parts[0]
+    for part in parts[1:]:
+        occurrences = occurrences.unionByName(part)
     occurrences = stored(occurrences, f"{path}/occurrences")
+    sizes = occurrences.filter(F.col("field") != MARKS).groupBy("chunk_no").agg(F.count(F.lit(1)).alias("n_tokens"))
+    sizes = stored(sizes, f"{path}/lengths")
+    n_chunks, n_tokens = plain.count(), sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    spark.createDataFrame([(n_chunks, n_tokens)], "n_chunks long, n_tokens long").coalesce(1).write.parquet(f"{path}/totals")
 
     terms = stored(_numbered(occurrences, path), f"{path}/terms")
-    numbers = terms.select("term", "term_no")
-    placed = occurrences.join(numbers, "term").select("term_no", "chunk_no", "field", "pos", "n_tokens")
+    placed = occurrences.join(terms.select("term", "term_no"), "term").select("term_no", "chunk_no", "field", "pos")
     # ranges of (term, chunk) split a frequent term's list over tasks
-    placed.repartitionByRange("term_no", "chunk_no").sortWithinPartitions("term_no", "chunk_no", "field", "pos").write.parquet(f"{path}/postings")
-    sizes = lists.select("chunk_no", counted)
-    plain.join(sizes, "chunk_no").write.option("parquet.block.size", CHUNK_GROUP_BYTES).parquet(f"{path}/chunks")
+    placed.repartitionByRange("term_no", "chunk_no").sortWithinPartitions("term_no", "chunk_no").write.parquet(f"{path}/postings")
 
     word = F.rlike("term", F.lit(r"^[\p{L}\p{N}]"))
     starts = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(PREFIX_CHARS))), lambda n: F.substring("term", F.lit(1), n))
@@ -131,7 +138,7 @@ def build_index(chunks: DataFrame, path: str | None = None, columns: Sequence[st
         grams = terms.select("term_no", F.explode(grams_of(F.col("term"))).alias("gram"))
         grams = stored(grams, f"{path}/grams")
         grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_terms")).write.parquet(f"{path}/gram_counts")
-    for name in ("occurrences", "plain", "counted", "ranged"):
+    for name in ("occurrences", "ranged"):
         remove(spark, f"{path}/{name}")
     return SearchIndex(spark, path, tuple(columns))
 
@@ -147,14 +154,12 @@ def grams_of(text: Column, sizes: Sequence[int] = range(1, GRAM + 1)) -> Column:
 
 
 def _numbered(occurrences: DataFrame, path: str) -> DataFrame:
-    """(term, term_no, n_chunks, n_places): ranks of the distinct terms in sorted order, without gaps.
+    """(term, term_no, n_places): ranks of the distinct terms in sorted order, without gaps.
 
     Terms are sorted in ranges; rows of a range count from what the ranges before hold.
     Only the sizes of the ranges meet in one task.
     """
-    in_chunk = occurrences.groupBy("term", "chunk_no").agg(F.count(F.lit(1)).alias("n"))
-    counted = in_chunk.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_places"))
-    counted = stored(counted, f"{path}/counted")
+    counted = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("n_places"))
     ranged = counted.repartitionByRange("term").sortWithinPartitions("term").withColumn("at", F.monotonically_increasing_id())
     ranged = stored(ranged, f"{path}/ranged")
     part = F.shiftright("at", 33).alias("part")
@@ -162,4 +167,4 @@ def _numbered(occurrences: DataFrame, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     local = F.col("at").bitwiseAND((1 << 33) - 1)
-    return ranged.withColumn("part", part).join(F.broadcast(offsets), "part").select("term", (F.col("offset") + local).alias("term_no"), "n_chunks", "n_places")
+    return ranged.withColumn("part", part).join(F.broadcast(offsets), "part").select("term", (F.col("offset") + local).alias("term_no"), "n_places")

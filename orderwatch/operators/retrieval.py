@@ -122,28 +122,31 @@ def _equal_to(index: SearchIndex, wanted: DataFrame) -> DataFrame:
 
 
 def phrase_hits(index: SearchIndex, phrases: DataFrame, weights: Mapping[str, float] = TEXT_ONLY) -> DataFrame:
-    """(chunk_no, phrase, n_tokens, tf): weighted frequency of each phrase in each chunk that has it.
+    """(chunk_no, phrase_no, tf): weighted frequency of each phrase in each chunk that has it.
+
+    ``phrases`` has phrase_no, phrase and n_parts, a row for each phrase.
 
     Parts of a phrase meet where they stand in one field at the phrase's distances: each gives
     the place where the phrase would begin, and a place that all parts give holds it. So
     phrases of any length take one aggregation.
     """
-    parts = phrases.filter("phrase != ''").select("phrase", "n_parts").distinct()
-    parts = parts.select("phrase", "n_parts", F.posexplode(F.split("phrase", " ")).alias("at", "part"))
+    parts = phrases.select("phrase_no", "n_parts", F.posexplode(F.split("phrase", " ")).alias("at", "part"))
     last = F.col("at") == F.col("n_parts") - 1
     terms = beginning_with(index, parts.filter(last)).unionByName(_equal_to(index, parts.filter(~last)))
-    terms = _stored(index, terms.select("phrase", "n_parts", "at", "term_no"), "terms")
-    fields = [float(weights.get(c, 0.0)) for c in index.columns]
-    weight = F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1)
+    terms = _stored(index, terms.select("phrase_no", "n_parts", "at", "term_no"), "terms")
+    weight = F.lit(0.0)
+    for field, column in enumerate(index.columns):
+        if weights.get(column):
+            weight = F.when(F.col("field") == field, float(weights[column])).otherwise(weight)
     found = index.postings(terms).filter(F.col("field") != MARKS).join(terms, "term_no")
-    found = found.select("phrase", "n_parts", "at", "chunk_no", "field", "pos", "n_tokens", weight.alias("weight"))
-    sums = (F.any_value("n_tokens").alias("n_tokens"), F.sum("weight").alias("tf"))  # one length for each chunk
-    single = found.filter("n_parts = 1").groupBy("chunk_no", "phrase").agg(*sums)
+    found = found.select("phrase_no", "n_parts", "at", "chunk_no", "field", "pos", weight.alias("weight"))
+    frequency = F.sum("weight").alias("tf")
+    single = found.filter("n_parts = 1").groupBy("chunk_no", "phrase_no").agg(frequency)
     begins = found.filter("n_parts > 1").withColumn("begin", F.col("pos") - F.col("at"))
-    begins = begins.groupBy("chunk_no", "phrase", "n_parts", "field", "begin").agg(
-        F.count(F.lit(1)).alias("n"), F.any_value("n_tokens").alias("n_tokens"), F.any_value("weight").alias("weight")
+    begins = begins.groupBy("chunk_no", "phrase_no", "n_parts", "field", "begin").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("weight").alias("weight")
     )
-    several = begins.filter("n = n_parts").groupBy("chunk_no", "phrase").agg(*sums)
+    several = begins.filter("n = n_parts").groupBy("chunk_no", "phrase_no").agg(frequency)
     return single.unionByName(several)
 
 
@@ -170,27 +173,30 @@ def search(
     index = _of(chunks, columns, fallback)
     n_chunks, mean = index.size()
     phrases = _stored(index, query_phrases(queries), "phrases")
-    hits = phrase_hits(index, phrases, weights)
+    # numbers are given when the table is written, and then only read
+    numbered = phrases.filter("phrase != ''").select("phrase", "n_parts").distinct().withColumn("phrase_no", F.monotonically_increasing_id())
+    numbered = _stored(index, numbered, "numbered")
+    hits = phrase_hits(index, numbered, weights).join(index.table("lengths"), "chunk_no")
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / (mean or 1.0)))
-    hits = _stored(index, hits.select("chunk_no", "phrase", part.alias("part")), "hits")
+    hits = _stored(index, hits.select("chunk_no", "phrase_no", part.alias("part")), "hits")
     about = index.table("chunks").select("chunk_no", "chunk_id", *(["content_type"] if content_type else []))
     if content_type:
         about = about.filter(F.col("content_type") == content_type).drop("content_type")
 
-    frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("top"))
+    frequency = hits.groupBy("phrase_no").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("top"))
     rarity = F.log((n_chunks - F.col("df") + 0.5) / (F.col("df") + 0.5))
     sizes = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_phrases"))
-    asked = phrases.filter("phrase != ''").join(frequency, "phrase").join(sizes, "query_id")
+    asked = phrases.join(numbered.select("phrase", "phrase_no"), "phrase").join(frequency, "phrase_no").join(sizes, "query_id")
     gain = F.col("repeats") * F.greatest(rarity, F.lit(MIN_IDF))
-    asked = _stored(index, asked.select("query_id", "phrase", "df", "n_phrases", gain.alias("gain"), (gain * F.col("top")).alias("bound")), "asked")
-    known = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_known"), F.min_by("phrase", F.struct("df", "phrase")).alias("phrase"), F.any_value("n_phrases").alias("n_phrases"))
-    rarest = known.filter("n_known = n_phrases").select("query_id", "phrase")
+    asked = _stored(index, asked.select("query_id", "phrase_no", "df", "n_phrases", gain.alias("gain"), (gain * F.col("top")).alias("bound")), "asked")
+    known = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_known"), F.min_by("phrase_no", F.struct("df", "phrase_no")).alias("phrase_no"), F.any_value("n_phrases").alias("n_phrases"))
+    rarest = known.filter("n_known = n_phrases").select("query_id", "phrase_no")
 
     def scored(candidates: DataFrame) -> DataFrame:
         """Whole scores of (query_id, chunk_no)."""
-        wanted = candidates.join(asked.select("query_id", "phrase", "gain", "n_phrases"), "query_id")
+        wanted = candidates.join(asked.select("query_id", "phrase_no", "gain", "n_phrases"), "query_id")
         sums = (F.sum(F.col("gain") * F.col("part")).alias("score"), F.count(F.lit(1)).alias("n_matched"))
-        return wanted.join(hits, ["chunk_no", "phrase"]).groupBy("query_id", "chunk_no", "n_phrases").agg(*sums)
+        return wanted.join(hits, ["chunk_no", "phrase_no"]).groupBy("query_id", "chunk_no", "n_phrases").agg(*sums)
 
     def best(rows: DataFrame, matched_by: str) -> DataFrame:
         # the limit on the rank is applied inside each partition first
@@ -201,7 +207,7 @@ def search(
     def allowed(rows: DataFrame) -> DataFrame:
         return rows.join(about.select("chunk_no"), "chunk_no", "left_semi") if content_type else rows
 
-    candidates = allowed(hits.join(rarest, "phrase").select("query_id", "chunk_no"))
+    candidates = allowed(hits.join(rarest, "phrase_no").select("query_id", "chunk_no"))
     full = scored(candidates).filter("n_matched = n_phrases")
     if not fallback:
         return best(full, "all")
@@ -224,17 +230,17 @@ def _may_enter(index: SearchIndex, asked: DataFrame, hits: DataFrame, allowed, t
     reach at least; their k-th best is a floor. Phrases whose bounds together stay below the floor
     cannot lift a chunk that has no other phrase, so only the chunks of the others are looked at.
     """
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "phrase")
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "phrase_no")
     ranked = asked.withColumn("place", F.row_number().over(by_bound))
-    seeds = ranked.filter(F.col("place") <= SEED_PHRASES).select("query_id", "phrase", "gain")
-    reached = allowed(hits.join(seeds, "phrase")).groupBy("query_id", "chunk_no").agg(F.sum(F.col("gain") * F.col("part")).alias("least"))
+    seeds = ranked.filter(F.col("place") <= SEED_PHRASES).select("query_id", "phrase_no", "gain")
+    reached = allowed(hits.join(seeds, "phrase_no")).groupBy("query_id", "chunk_no").agg(F.sum(F.col("gain") * F.col("part")).alias("least"))
     kth = Window.partitionBy("query_id").orderBy(F.desc("least"))
     floors = reached.withColumn("place", F.row_number().over(kth)).filter(F.col("place") <= top_k)
     floors = floors.groupBy("query_id").agg(F.min("least").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= top_k)
-    rest = Window.partitionBy("query_id").orderBy("bound", "phrase").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = Window.partitionBy("query_id").orderBy("bound", "phrase_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = asked.withColumn("together", F.sum("bound").over(rest)).join(floors.select("query_id", "floor"), "query_id", "left")
-    needed = summed.filter(F.col("floor").isNull() | (F.col("together") >= F.col("floor") - SCORE_SLACK)).select("query_id", "phrase")
-    return allowed(hits.join(needed, "phrase").select("query_id", "chunk_no").distinct())
+    needed = summed.filter(F.col("floor").isNull() | (F.col("together") >= F.col("floor") - SCORE_SLACK)).select("query_id", "phrase_no")
+    return allowed(hits.join(needed, "phrase_no").select("query_id", "chunk_no").distinct())
 
 
 def substring_search(chunks: DataFrame | SearchIndex, queries: DataFrame, top_k: int = 5, content_type: str | None = None) -> DataFrame:

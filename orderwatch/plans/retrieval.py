@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, evaluation, retrieval
-from ..operators.index import build_index, open_index
+from ..operators.index import SearchIndex, build_index, modified, open_index
 from ..sources.star import read_table
 from .base import nearest, rounded
 from .documents import DOCUMENT_CHUNKS, page_chunk_views, pages, recursive, texts
@@ -23,6 +23,22 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     return documents.chunks(texts(spark, folder))
 
 
+_built: dict[tuple, SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, folder: str, table: str = "documents") -> SearchIndex:
+    """The index of a table's chunks: written when first asked for, then shared by the queries of an application.
+
+    A table that was written anew gets a new index.
+    """
+    path = f"{folder}/{table}.parquet"
+    key = (spark.sparkContext.applicationId, path, modified(spark, path))
+    if key not in _built:
+        rows = pages(spark, folder) if table == "pages" else texts(spark, folder)
+        _built[key] = build_index(documents.chunks(rows))
+    return _built[key]
+
+
 def _scored(df: DataFrame) -> DataFrame:
     return rounded(df, 5, "score")
 
@@ -36,11 +52,11 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(retrieval.search(_chunks(spark, folder), queries(spark, folder), TOP_K, fallback=False))
+    return _scored(retrieval.search(search_index(spark, folder), queries(spark, folder), TOP_K, fallback=False))
 
 
 def bm25_with_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(retrieval.search(_chunks(spark, folder), queries(spark, folder), TOP_K))
+    return _scored(retrieval.search(search_index(spark, folder), queries(spark, folder), TOP_K))
 
 
 def bm25_vocabulary_path(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +66,7 @@ def bm25_vocabulary_path(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def substring_search(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.substring_search(_chunks(spark, folder), queries(spark, folder), TOP_K)
+    return retrieval.substring_search(search_index(spark, folder), queries(spark, folder), TOP_K)
 
 
 def retrieve_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,12 +77,12 @@ def retrieve_pages(spark: SparkSession, folder: str) -> DataFrame:
             "prefer_sections": F.array(F.lit("The"), F.lit("an")),
         }
     )
-    rows = retrieval.retrieve(documents.chunks(pages(spark, folder)), asked, TOP_K)
+    rows = retrieval.retrieve(search_index(spark, folder, "pages"), asked, TOP_K)
     return _scored(rows.select("query_id", "rank", "chunk_id", "section", "score", "matched_by"))
 
 
 def retrieval_context(spark: SparkSession, folder: str) -> DataFrame:
-    found = retrieval.retrieve(_chunks(spark, folder), queries(spark, folder), TOP_K)
+    found = retrieval.retrieve(search_index(spark, folder), queries(spark, folder), TOP_K)
     whole = retrieval.context(found).select("query_id", "n_chunks", F.md5("context").alias("context_md5"))
     listed = retrieval.citations(found).select(
         "query_id", F.array_join(F.transform("sources", lambda s: s["chunk_id"]), ",").alias("cited")
@@ -87,7 +103,7 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 def hits(spark: SparkSession, folder: str) -> DataFrame:
     asked = questions(spark, folder)
     found = retrieval.retrieve(
-        _chunks(spark, folder), asked.select(F.col("id").alias("query_id"), F.col("question").alias("query")), TOP_K
+        search_index(spark, folder), asked.select(F.col("id").alias("query_id"), F.col("question").alias("query")), TOP_K
     )
     return evaluation.source_hits(asked, found)
 

@@ -202,7 +202,8 @@ def test_search_reads_the_index_only(spark, index, queries):
     """No plan of a search splits a text, and texts are read for literal candidates alone."""
     found = retrieval.search(open_index(spark, index.path), queries, 3)
     assert answers_of(found, QUERIES) == brute_force(CHUNKS, QUERIES, 3)
-    hits = retrieval.phrase_hits(index, retrieval.query_phrases(queries))
+    phrases = retrieval.query_phrases(queries).filter("phrase != ''").withColumn("phrase_no", F.xxhash64("phrase"))
+    hits = retrieval.phrase_hits(index, phrases)
     for df in (found, hits):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
