@@ -16,18 +16,17 @@ frequent changes the work only, never the result.
 Equal sets are collapsed first. In an index bucket the members are first compared with a few
 hubs; members of one component need no further comparison, so a large group of near copies
 takes a few comparisons a member and not all pairs. Further rounds take other hubs; at last
-all pairs whose components still differ are compared. Before texts are moved, parities and
+all pairs whose components still differ are compared. Before texts are moved, odd cells and
 counts of tokens by cell of the hash space rule out pairs that cannot be similar. Every comparison
 is exact (up to 64-bit hashes), and no pair that may link is left out.
 
 Defined results: NULL, empty and blank texts have an empty set and link with nothing; rows
-that share a doc_id count as one document and are linked; a NULL doc_id has a NULL
+that share a doc_id count as one document and are linked, each of their texts with all it is similar to; a NULL doc_id has a NULL
 component; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .pairs import ODD_NAMES, answers, cells_fit, close, exact_links, odd_cells, odd_columns, ordered, set_key, shared_ids, sizes_fit
 from .shared import BASE, STEP, mix, rows_of, shingle_set, stored, text_batches, whole_text, word_hashes
 
 WORDS = 4
@@ -47,9 +46,9 @@ CLASS_TOKENS = 1
 HUB_ROUNDS = 3
 HUBS = 4
 HUB_PART = 8
-PARITY_WORDS = 16
 COUNTED_TOKENS = 1 << 22
-FILTER_BITS = 1 << 23
+FIRST_ENTRIES = 32
+SEEN_KEYS = 1 << 17
 
 
 def missing(n: int, percent: int) -> int:
@@ -105,7 +104,7 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             for text in rows_of(batch, "text"):
                 tokens = shingle_set(word_hashes(text), words)
                 sizes.append(len(tokens))
-                keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
+                keys.append(set_key(tokens))
                 if len(tokens) and keys[-1] not in seen:
                     seen.add(keys[-1])
                     held.append(tokens)
@@ -144,32 +143,38 @@ def possible(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return bool(100 * shared >= percent * (sizes - shared))
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """For each of 64 * PARITY_WORDS cells of the hash space whether it holds an odd number of tokens."""
-    cells = (mix(tokens) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
-    return np.packbits(np.bincount(cells, minlength=64 * PARITY_WORDS).astype(np.uint8) & 1).tobytes()
+def _index(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(node, n, entries, first, sketch, odd cells) of each class of equal sets.
 
-
-def _index(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, entries, sketch, p0, p1, ...) for each row; the last are the parity words."""
-    names = [f"p{k}" for k in range(PARITY_WORDS)]
+    A task gives copies once; ``first`` holds the smallest entries.
+    """
     known = docs.sparkSession.sparkContext.broadcast(frequent)
+    names = ["key", "entries", "sketch", *ODD_NAMES]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                entries, sketches, parities = [], [], []
-                for text in rows_of(part, "text"):
-                    tokens = shingle_set(word_hashes(text), words)
-                    entries.append(signatures(tokens, known.value, percent).view(np.int64))
-                    sketches.append(zlib.compress(sketch(tokens).tobytes(), 1))
-                    parities.append(parity(tokens))
-                odd = np.frombuffer(b"".join(parities), np.int64).reshape(-1, PARITY_WORDS)
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array(entries, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(odd[:, k]) for k in range(PARITY_WORDS)]], ["doc_id", "entries", "sketch", *names])
-
-    rows = docs.filter("doc_id is not null").select("doc_id", whole_text())
-    return stored(rows.mapInArrow(index, "doc_id long, entries array<long>, sketch binary, " + ", ".join(f"{n} long" for n in names)), "index")
+            keys, entries, sketches, odd = [], [], [], []
+            for text in rows_of(batch, "text"):
+                tokens = shingle_set(word_hashes(text), words)
+                key = set_key(tokens)
+                if key is None or key in seen:
+                    continue
+                if len(seen) >= SEEN_KEYS:
+                    seen.clear()
+                seen.add(key)
+                keys.append(key)
+                entries.append(signatures(tokens, known.value, percent).view(np.int64))
+                sketches.append(zlib.compress(sketch(tokens).tobytes(), 1))
+                odd.append(odd_cells(tokens))
+            columns = [pa.array(keys, pa.binary()), pa.array(entries, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *odd_columns(odd)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = docs.filter("doc_id is not null").select(whole_text())
+    found = rows.mapInArrow(index, "key binary, entries array<long>, sketch binary, " + ", ".join(f"{n} long" for n in ODD_NAMES))
+    one = found.groupBy("key").agg(*[F.first(c).alias(c) for c in names[1:]]).join(classes.select("key", "node", "n"), "key")
+    first = F.slice(F.array_sort("entries"), 1, FIRST_ENTRIES).alias("first")
+    return stored(one.select("node", "n", "entries", first, "sketch", *ODD_NAMES), "index")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -180,71 +185,15 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             x, y = ([np.frombuffer(zlib.decompress(v), np.uint8) for v in rows_of(batch, c)] for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array([possible(p, q, percent) for p, q in zip(x, y)], pa.bool_()))
 
-    left, right = (sketches.select(F.col("doc_id").alias(n), F.col("sketch").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+    left, right = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(t)) for n, t in (("a", "x"), ("b", "y")))
     return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long").distinct()
 
 
-def _needed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, packed) of the wanted documents and a few others: their texts, compressed.
-
-    A bit field of fixed size over the ids' hashes spares the rest; the exact choice is
-    left to the joins that follow.
-    """
-    bit = F.pmod(F.xxhash64(F.col("node")), F.lit(FILTER_BITS))
-    fields = nodes.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {FILTER_BITS}L) % 64 as int))").alias("bit"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in fields.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 64 rows
-        bits[row.at] = row.bits
-    field = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column("place").to_numpy(zero_copy_only=False)
-            wanted = np.flatnonzero((field.value[place // 64] >> (place % 64)) & 1)
-            for at in range(0, len(wanted), 256):
-                part = batch.take(pa.array(wanted[at : at + 256]))
-                packed = [zlib.compress(t.encode(), 1) for t in rows_of(part, "text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
-
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), whole_text())
-    return rows.withColumn("place", bit).mapInArrow(texts, "node long, packed binary")
-
-
-def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, compared exactly."""
-    texts = _needed_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lately: dict[bytes, np.ndarray] = {}
-
-        def tokens(packed: bytes) -> np.ndarray:
-            if packed not in lately:
-                if len(lately) >= 32:
-                    lately.clear()
-                lately[packed] = shingle_set(word_hashes(zlib.decompress(packed).decode()), words)
-            return lately[packed]
-
-        for batch in batches:
-            linked = []
-            for x, y in zip(rows_of(batch, "x"), rows_of(batch, "y")):
-                x, y = tokens(x), tokens(y)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    left, right = (texts.select(F.col("node").alias(n), F.col("packed").alias(t)) for n, t in (("a", "x"), ("b", "y")))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long").distinct()
-
-
 def _near(percent: int, a: str, b: str):
     """Sizes between which a link is possible at all."""
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.col("a") != F.col("b"))
 
 
-def _pair(frame: DataFrame) -> DataFrame:
-    return frame.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _open_buckets(entries: DataFrame, labels: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
     """Members of the buckets that hold more than one component, and these buckets with a few hubs.
 
@@ -260,43 +209,34 @@ def _open_buckets(entries: DataFrame, labels: DataFrame, round_: int) -> tuple[D
 
 
 def _bucket_pairs(members: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of all pairs of a bucket that sizes and parities allow, each once for a bucket.
+    """(a, b) of all pairs of a bucket that sizes and odd cells allow, for most pairs from one bucket only.
 
-    Sets differ by at least one token in each cell whose parity differs.
+    A pair leaves from the smallest entry that both sets have, if it is among the first of both; only
+    pairs that meet beyond those may leave several buckets. Of buckets with equal members the one with the smallest
+    entry is open, so this bucket is never missing.
     """
-    names = [f"p{k}" for k in range(PARITY_WORDS)]
-    known = index.select(F.col("doc_id").alias("node"), *names).dropDuplicates(["node"])
-    rows = members.select("entry", "node", "n", "component").join(known, "node")
+    rows = members.select("entry", "node", "component").join(index.select("node", "n", "first", *ODD_NAMES), "node")
     other = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
-    sizes = F.col("n") + F.col("n_b")
-    # Shared tokens are (sizes - different) / 2 at most; compared as 100 * shared >= percent * (sizes - shared).
-    fits = (100 + percent) * (sizes - apart) >= 2 * percent * sizes
-    met = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & fits
-    near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    return rows.join(other, (F.col("entry") == F.col("entry_b")) & met & near).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    met = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & sizes_fit("n", "n_b", percent)
+    lowest = F.coalesce(F.get(F.array_intersect("first", "first_b"), F.lit(0)), F.col("entry"))
+    near = rows.join(other, (F.col("entry") == F.col("entry_b")) & met & cells_fit("n", "n_b", "_b", percent) & (lowest == F.col("entry")))
+    return near.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     text_batches(docs.sparkSession)
     rows, frequent = _survey(docs, words)
-    known = rows.filter("key is not null and doc_id is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("node"))
-    members = stored(known.join(classes, "key").select("doc_id", "node", "n"), "members")
-    # Rows that share an id count as one document.
-    same = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("a", "b")
-
-    index = _index(docs, frequent, words, percent)
-    entries = index.select(F.explode("entries").alias("entry"), "doc_id")
+    found = rows.filter("key is not null and doc_id is not null").groupBy("key")
+    classes = found.agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    # Numbers are given when the table is written, and then only read.
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    index = _index(docs, classes, frequent, words, percent)
+    entries = index.select(F.explode("entries").alias("entry"), "node", "n")
     buckets = entries.groupBy("entry").agg(F.count("*").alias("size")).filter("size > 1").select("entry")
-    entries = entries.join(buckets, "entry").join(members, "doc_id").select("entry", "node", "n").distinct()
-    entries = stored(entries, "entries")
-    spark = docs.sparkSession
-    linked, labels = same, spark.createDataFrame([], "node long, component long")
-    if same.limit(1).count():
-        labels = components(linked)
-    compared = spark.createDataFrame([], "a long, b long")
+    entries = stored(entries.join(buckets, "entry"), "entries")
+    linked = shared_ids(rows, classes)
+    labels, compared = close(linked), linked
     for round_ in range(HUB_ROUNDS + 1):
         last = round_ == HUB_ROUNDS
         # Hubs only spare work, so a part of the entries is enough; the last round takes all.
@@ -307,21 +247,26 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             met = state.join(open_, "entry").select("node", "n", "component", F.explode("hubs").alias("hub"))
             pairs = met.select(F.col("node").alias("a"), "n", "component", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"), F.col("hub.component").alias("c_b"))
             pairs = pairs.filter("component != c_b").filter(_near(percent, "n", "n_b"))
-        pairs = stored(_pair(pairs).join(compared, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(ordered(pairs).join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = compared.union(pairs)
-        pairs = stored(_possible(pairs, index, percent), "possible")
-        linked = linked.union(stored(_links(pairs, docs, words, percent), "links"))
-        labels = components(linked)
-
-    ids = members.groupBy("doc_id").agg(F.min("node").alias("node")).join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles")).join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        possible = stored(_possible(pairs, index, percent), "possible")
+        new = stored(exact_links(possible, classes, docs, words, percent), "links")
+        linked = linked.union(new)
+        if new.limit(1).count():
+            labels = close(linked)
+    ended = answers(rows, classes, labels)
+    return ended.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each group of linked documents, the one with the smallest id, with all columns.
 
-    Texts without words link with nothing and stay, as do rows without an id.
+    Of rows that share this id the one whose text has the smallest hash is kept. Texts without words link with nothing
+    and stay, as do rows without an id.
     """
-    groups = link(docs, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(groups, docs["doc_id"] == groups["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    ids = link(docs, words, percent).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_times"))
+    kept = docs.join(ids, docs["doc_id"] == ids["_id"]).drop("_id")
+    # Only ids that repeat are grouped, so the other texts are not shuffled for it.
+    repeated = kept.filter("_times > 1").drop("_times").groupBy("doc_id")
+    one = repeated.agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row")).select("_row.*")
+    return kept.filter("_times = 1").drop("_times").unionByName(one).unionByName(docs.filter("doc_id is null"))

@@ -15,7 +15,7 @@ Shards are rows of a Parquet table, written and committed by Spark's writer: a l
 executor's tasks are run again and leave no half-written file.
 
 Defined results: NULL and empty texts hold the end id only; rows with the same
-doc_id are all kept, ordered by doc_id only, and found together; a NULL doc_id comes
+doc_id are all kept, ordered by a hash of their text, and found together; a NULL doc_id comes
 first and is stored under NULL_KEY; an empty table gives no shards.
 """
 
@@ -155,7 +155,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
 
     schema = pa.schema([arrow(f) for f in SCHEMA.split(", ")])
     rows = docs.select(F.col("doc_id").cast("long"), whole_text())
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows that share an id follow the hash of their text; wholly equal rows may lie in any order, and in several tasks.
+    rows = rows.withColumns({"mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = ("doc_id", "mark", "row")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     # Small row groups: a reader holds one of them at a time.
     ordered.mapInArrow(write, SCHEMA).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
 

@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from orderwatch.llm import bottomk, pairs
+from orderwatch.llm import bottomk, ngram_join, pairs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, node long, n long, key string, retained int, component long"
@@ -84,6 +84,27 @@ def test_repeated_ids_in_every_order(spark):
         assert got(bottomk.link(frame(spark, order, 1))) == plain(order)
 
 
+def test_prefix_join_with_repeated_ids_in_every_order(spark):
+    rng = random.Random(9)
+    base, other = prose(rng, 120), prose(rng, 60)
+    rows = [(1, " ".join(base)), (2, " ".join(base[6:])), (2, " ".join(other)), (3, " ".join(other[3:])), (2, " ".join(prose(rng, 30)))]
+    for order in (rows, rows[::-1], [rows[k] for k in (2, 4, 0, 3, 1)]):
+        result = ngram_join.link(frame(spark, order, 1)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in result) == [x[1:4] for x in plain(order, 85, 4)]
+
+
+def test_prefix_join_of_groups_of_near_copies(spark):
+    """Groups around the limit, where pairs meet in many buckets and most are not linked."""
+    rng = random.Random(14)
+    rows = []
+    for size in (30, 140, 600):
+        base = prose(rng, size)
+        rows += [" ".join(edited(rng, base, rng.choice([0.005, 0.02, 0.03, 0.05]))) for _ in range(30)]
+    rows = list(enumerate(rows))
+    result = ngram_join.link(frame(spark, rows), words=5, percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in result) == [x[1:4] for x in plain(rows, 80)]
+
+
 def test_awkward_rows(spark):
     long = " ".join(f"word{k % 5000}" for k in range(60_000))
     rows = [(None, None), (None, long), (0, None), (1, ""), (2, " \n\t"), (3, "one"), (4, "ONE"), (5, "one two"), (6, long), (7, long + " more"), (6, long), (8, "é 中文 🙂 ok ok")]

@@ -81,6 +81,30 @@ def test_token_index(spark, docs, empty):
     assert token_index.read_documents(spark, none).count() == 0
 
 
+def test_token_index_equals_the_library(spark, small):
+    """Starts, lengths and checksums of all rows, with ids that repeat in any row order."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    rows = [(r.doc_id, r.text) for r in small.collect()] + [(3, "one more"), (3, "and more"), (None, "no id"), (None, None)]
+    results = []
+    for order in (rows, rows[::-1]):
+        path = new_path(spark, "shards")
+        token_index.write_shards(spark.createDataFrame(order, "doc_id long, text string").repartition(3), path, TOKENIZER, shard_ids=3000)
+        results.append(sorted(token_index.read_documents(spark, path).collect(), key=lambda r: r.start))
+    assert results[0] == results[1]
+    assert [r.doc_id for r in results[0][:2]] == [None, None]
+    assert [r.doc_id for r in results[0]] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
+    ids = {(d, t): np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for d, t in rows}
+    want = Counter((d, len(x), zlib.crc32(x.tobytes())) for (d, _), x in ids.items())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in results[0]) == want
+    start = 0
+    for r in results[0]:
+        assert r.start == start
+        start += r.n_tokens
+
+
 def test_join_equals_all_pairs(small):
     rows = {r.doc_id: r.text for r in small.collect()}
     sets = {}
