@@ -15,6 +15,7 @@ from ..functions.binding import let
 MIN_CHUNK_CHARS = 50
 MAX_CHUNK_CHARS = 2000
 HEAD_CHARS = 200
+LEVELS = 6
 
 # Content types that are never split.
 ATOMIC_TYPES = ("checklist", "table", "template", "code")
@@ -93,23 +94,34 @@ def _paths(heads: Column, hierarchical: bool) -> Column:
     """Section path at each (level, title) entry, by a fold over them.
 
     A first-level heading starts a new path. Deeper ones extend it; with
-    ``hierarchical`` they first leave the headings of the same depth or deeper.
+    ``hierarchical`` they first leave the headings of the same depth or deeper. The fold
+    carries joined paths: the one now open or, nested, one for each of the LEVELS levels,
+    so a heading costs one concatenation however many came before.
     """
-    heading = "array<struct<level:int,title:string>>"
-    nothing = F.array().cast(heading)
-    start = F.struct(nothing.alias("open"), F.array().cast("array<string>").alias("paths"))
-
-    def enter(state: Column, head: Column) -> Column:
-        kept = F.filter(state["open"], lambda h: h["level"] < head["level"]) if hierarchical else state["open"]
-        above = F.when(head["level"] == 1, nothing).otherwise(kept)
-        now = F.when(head["level"] > 0, F.array_append(above, head)).otherwise(state["open"])
+    slots = LEVELS if hierarchical else 1
+    start = F.struct(
+        F.array_repeat(F.lit(None).cast("string"), slots).alias("open"), F.array().cast("array<string>").alias("paths")
+    )
 
-        def extend(titles: Column) -> Column:
-            joined = F.array_join(F.transform(titles, lambda h: h["title"]), " > ")
-            path = F.regexp_replace(joined, "^( > )+", "")
-            return F.struct(titles.alias("open"), F.array_append(state["paths"], path).alias("paths"))
+    def below(path: Column, title: Column) -> Column:
+        # empty titles before the first other one leave no mark
+        return F.when(F.coalesce(path, F.lit("")) == "", title).otherwise(F.concat(path, F.lit(" > "), title))
 
-        return let(now, extend)
+    def enter(state: Column, head: Column) -> Column:
+        level, slot = head["level"], (head["level"] if hierarchical else F.lit(1))
+        open_ = state["open"]
+        shallower = F.slice(open_, 1, F.greatest(level - 1, F.lit(0))) if hierarchical else open_
+        above = F.try_element_at(F.array_compact(shallower), F.lit(-1))
+        now = below(F.when(level > 1, above), head["title"])
+
+        def placed(path: Column) -> Column:
+            paths = F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda i: F.when(i < slot, F.get(open_, i - 1)).when(i == slot, path))
+            opened = F.when(level > 0, paths).otherwise(open_)
+            # only text before the first heading has no level
+            shown = F.when(level > 0, path).otherwise("")
+            return F.struct(opened.alias("open"), F.array_append(state["paths"], shown).alias("paths"))
+
+        return let(now, placed)
 
     return F.aggregate(heads, start, enter, lambda state: state["paths"])
 

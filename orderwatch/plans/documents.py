@@ -34,6 +34,11 @@ def page_elements(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(documents.elements(pages(spark, folder), classify_pages=True))
 
 
+def page_elements_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements under the headings that are open at their place."""
+    return _shown(documents.elements(pages(spark, folder), hierarchical=True, classify_pages=True))
+
+
 def doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(documents.chunks(texts(spark, folder)))
 
@@ -47,7 +52,7 @@ def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:
     return documents.chunk_stats(both)
 
 
-QUERIES = {f.__name__: f for f in (doc_elements, page_elements, doc_chunks, page_chunks, chunk_stats)}
+QUERIES = {f.__name__: f for f in (doc_elements, page_elements, page_elements_nested, doc_chunks, page_chunks, chunk_stats)}
 
 # ------------------------------------------------------------------ SQL twins
 
@@ -84,7 +89,18 @@ def _page_text() -> str:
     return f"SELECT 'page/' || page_id AS source, {text} AS text FROM pages"
 
 
-def element_views(source: str, prefix: str, classify: bool) -> dict[str, str]:
+def _nested_paths(lines: str) -> str:
+    """The last heading of each level is open if no shallower one came after it."""
+    seen = "OVER (PARTITION BY source ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    places = ", ".join(
+        f"coalesce(max(CASE WHEN level = {k} THEN pos END) {seen}, -1) AS p{k}, last_value(CASE WHEN level = {k} THEN title END IGNORE NULLS) {seen} AS t{k}"
+        for k in range(1, 7)
+    )
+    titles = ", ".join(f"CASE WHEN p{k} > greatest(-1, {', '.join(['-1'] + [f'p{j}' for j in range(1, k)])}) THEN t{k} END" for k in range(1, 7))
+    return f"SELECT *, concat_ws(' > ', {titles}) AS section FROM (SELECT *, {places} FROM {lines})"
+
+
+def element_views(source: str, prefix: str, classify: bool, nested: bool = False) -> dict[str, str]:
     """Lines, islands between breaks, and running section paths."""
     kind = _KIND if classify else "'paragraph'"
     return {
@@ -103,7 +119,7 @@ def element_views(source: str, prefix: str, classify: bool) -> dict[str, str]:
             SELECT *, sum(CASE WHEN headed OR plain = '' THEN 1 ELSE 0 END) OVER o AS island,
                    sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER o AS epoch
             FROM {prefix}_marked WINDOW o AS (PARTITION BY source ORDER BY pos)""",
-        f"{prefix}_paths": f"""
+        f"{prefix}_paths": _nested_paths(f"{prefix}_placed") if nested else f"""
             SELECT *, coalesce(string_agg(title, ' > ') FILTER (headed) OVER
                                    (PARTITION BY source, epoch ORDER BY pos), '') AS section
             FROM {prefix}_placed""",
@@ -159,11 +175,11 @@ _ID = "substr(sha1(concat_ws('|', source, section, text)), 1, 12) AS element_id"
 _CHUNK = "source, section, parent_section, content_type, chunk_id, length(text) AS n_chars, md5(text) AS text_md5"
 
 
-def _elements_sql(source: str) -> str:
+def _elements_sql(source: str, nested: bool = False) -> str:
     return query_sql(
         f"""SELECT source, section, CAST(page AS INTEGER) AS page, content_type, {_ID}, length(text) AS n_chars,
                    md5(text) AS text_md5 FROM el_elements""",
-        **element_views(source, "el", True),
+        **element_views(source, "el", True, nested),
     )
 
 
@@ -174,6 +190,7 @@ def page_chunk_views(max_chars: int) -> dict[str, str]:
 ORACLES = {
     "doc_elements": _elements_sql(_DOCUMENT_TEXT),
     "page_elements": _elements_sql(_page_text()),
+    "page_elements_nested": _elements_sql(_page_text(), nested=True),
     "doc_chunks": recursive(f"SELECT {_CHUNK} FROM doc_chunks", **DOCUMENT_CHUNKS),
     "page_chunks": recursive(f"SELECT {_CHUNK} FROM page_chunks", **page_chunk_views(400)),
     "chunk_stats": recursive(

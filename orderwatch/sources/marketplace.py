@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import as_timestamp
+from .records import gathered, read_lines, with_quote_starts
 
 # Fixed values of the public dataset: file and table names.
 TABLE_FILES = {
@@ -36,8 +37,8 @@ TIME_COLUMNS = {
     "order_reviews": ("review_creation_date", "review_answer_timestamp"),
 }
 
-# Only review comments contain line breaks inside quotes. Reading across lines
-# makes a file unsplittable, so the other tables are read line by line.
+# Only review comments contain line breaks inside quotes. Spark's own reading across lines
+# makes a file one task, so these records are put together from lines read in many.
 MULTI_LINE_TABLES = frozenset({"order_reviews"})
 
 
@@ -47,9 +48,10 @@ def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame | No
     ``path`` may be a file or a folder of part files. Returns None if absent.
     """
     reader = spark.read.option("header", True).option("escape", '"')
-    reader = reader.option("multiLine", table in MULTI_LINE_TABLES)
     try:
         raw = reader.csv(path)
+        if table in MULTI_LINE_TABLES and raw.columns:
+            raw = _across_lines(spark, path, raw.columns)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -57,6 +59,16 @@ def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame | No
     return raw.select(*(F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns))
 
 
+def _across_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Records whose quoted values may hold line breaks. The first record of a file is its header."""
+    records = gathered(with_quote_starts(read_lines(spark, path)))
+    heads = records.groupBy("file").agg(F.min("first").alias("first"))
+    rows = records.join(heads, ["file", "first"], "left_anti").filter("record != ''")
+    fields = ", ".join(f"c{i} STRING" for i in range(len(columns)))
+    parsed = rows.select(F.from_csv("record", fields, {"escape": '"', "multiLine": "true"}).alias("r"))
+    return parsed.select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def type_times(table: str, df: DataFrame) -> DataFrame:
     """Parse the table's time columns value by value (bad text becomes NULL)."""
     present = [c for c in TIME_COLUMNS.get(table, ()) if c in df.columns]

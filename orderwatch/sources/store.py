@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tasks import TASK_COLUMNS, TASK_SCHEMA
+from .records import gathered, read_lines, stripped_of_commas
+
+# What stands between two records of an array.
+BETWEEN = r"(?<=\})\s*,?\s*(?=\{)"
 
 
 def _empty(spark: SparkSession) -> DataFrame:
@@ -16,17 +20,20 @@ def _empty(spark: SparkSession) -> DataFrame:
 
 
 def parse_task_json(texts: DataFrame) -> DataFrame:
-    """Tasks from files' texts (column ``value``), each a JSON array or one record per line.
+    """Tasks from JSON texts (column ``value``): arrays, lines of records or parts of either.
 
-    Column ``broken`` counts the records of a file that cannot be parsed or have no id; a file
-    with broken records only gives one row without a task.
+    Column ``broken`` counts the records of a text that cannot be parsed or have no id; a text
+    with broken records only gives one row without a task. A broken record costs no other one.
     """
-    is_array = F.ltrim("value").startswith("[")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    listed = F.from_json("value", f"array<struct<{_fields()}>>")
-    single = F.transform(lines, lambda x: F.from_json(x, TASK_SCHEMA))
-    parsed = F.when(is_array, F.coalesce(listed, F.array(F.lit(None)))).otherwise(single)
-    rows = texts.select(parsed.alias("tasks"))
+    is_array = F.ltrim("value").startswith("[")
+    body = stripped_of_commas(F.col("value"))
+    listed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<struct<{_fields()}>>")
+    # where the array as a whole is broken, its records are told apart by what stands between them
+    pieces = F.filter(F.split(body, BETWEEN), lambda x: F.trim(x) != "")
+    single = F.transform(F.when(is_array, pieces).otherwise(lines), lambda x: F.from_json(x, TASK_SCHEMA))
+    whole = is_array & listed.isNotNull() & ~F.exists(listed, lambda t: t.isNull() | t["task_id"].isNull())
+    rows = texts.select(F.when(whole, listed).otherwise(single).alias("tasks"))
     good = F.filter("tasks", lambda t: t["task_id"].isNotNull())
     rows = rows.select(good.alias("good"), (F.size("tasks") - F.size(good)).alias("broken"))
     return rows.filter("size(good) > 0 or broken > 0").select(F.explode_outer("good").alias("task"), "broken")
@@ -36,13 +43,24 @@ def _fields() -> str:
     return ", ".join(f"{name}: {kind}" for name, kind in (f.strip().split(" ", 1) for f in TASK_SCHEMA.split(",")))
 
 
+def task_records(spark: SparkSession, path: str) -> DataFrame:
+    """Column ``value``: pieces of JSON files that hold whole records, read by many tasks.
+
+    A JSON text has no line break inside a string, and a task holds no other object, so a line
+    that begins with a brace, after brackets and commas, starts a record.
+    """
+    lines = read_lines(spark, path).withColumn("start", F.rlike("line", F.lit(r"^[\s,\[]*\{")))
+    records = gathered(lines).select(stripped_of_commas(F.col("record")).alias("record"))
+    return records.select(F.concat(F.lit("["), "record", F.lit("]")).alias("value"))
+
+
 def read_task_json(spark: SparkSession, path: str) -> DataFrame:
     """Tasks from JSON (an array or one record per line); missing means none.
 
     Records that cannot be parsed are left out; ``parse_task_json`` counts them.
     """
     try:
-        texts = spark.read.text(path, wholetext=True)
+        texts = task_records(spark, path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return _empty(spark)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,21 @@ def test_content_type_of_whole_texts(spark):
     docs = spark.createDataFrame([("a.md", late)], "source string, text string")
     assert documents.elements(docs).first().content_type == "paragraph"
     assert documents.elements(docs, head_chars=None).first().content_type == "checklist"
+
+
+@pytest.mark.parametrize("hierarchical", [False, True])
+def test_many_headings(spark, hierarchical):
+    """Paths of thousands of headings, against a plain stack."""
+    rng = random.Random(3)
+    levels = [rng.choice([1, 2, 2, 3, 3, 4, 6]) for _ in range(2000)]
+    text = "before\n\n" + "".join(f"{'#' * level} h{k}\n\ntext {k}\n\n" for k, level in enumerate(levels))
+    want, open_ = [""], []
+    for k, level in enumerate(levels):
+        if level == 1:
+            open_ = []
+        elif hierarchical:
+            open_ = [h for h in open_ if h[0] < level]
+        open_ = [*open_, (level, f"h{k}")]
+        want.append(" > ".join(t for _, t in open_))
+    df = documents.elements(spark.createDataFrame([("a", text)], "source string, text string"), hierarchical=hierarchical)
+    assert [r.section for r in df.orderBy("page").collect()] == want

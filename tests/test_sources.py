@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from conftest import rows
 from orderwatch.operators import tasks
 from orderwatch.operators.marts import build_marts
 from orderwatch.sources import audit, documents, marketplace, store
+from orderwatch.sources.records import read_lines
 
 
 def test_missing_files_are_skipped(tables):
@@ -132,3 +134,45 @@ def test_json_lines_keep_every_record(spark, tmp_path):
     assert store.read_task_json(spark, str(tmp_path / "lines.json")).count() == 3
     texts = spark.read.text(str(tmp_path / "lines.json"), wholetext=True)
     assert {r.broken for r in store.parse_task_json(texts).collect()} == {1}
+
+
+def test_quoted_lines_are_read_by_many_tasks(spark, tmp_path):
+    """The same rows as Spark's reader across lines gives, from a file cut into small splits."""
+    rng = random.Random(8)
+    parts = ["plain", 'with ""quotes""', "two\nlines", "", "a, comma", "\n\nblank lines\n", '""', "ç é"]
+    rows = [f'r{k},"{rng.choice(parts)}",{k % 5},"{rng.choice(parts)} {rng.choice(parts)}"' for k in range(4000)]
+    text = "review_id,review_comment_title,review_score,review_comment_message\n" + "\n".join(rows) + "\n"
+    (tmp_path / "reviews.csv").write_text(text, encoding="utf-8")
+    path, before = str(tmp_path / "reviews.csv"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).collect()
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        assert read_lines(spark, path).select("block").distinct().count() > 20
+        got = marketplace.read_csv_table(spark, path, "order_reviews").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(str, got)) == sorted(str(r).replace("=''", "=None") for r in want)
+
+
+def test_one_bad_record_costs_itself_only(spark, tmp_path):
+    good = [{"task_id": f"RT-20240101-{k:04d}", "title": 'braces }, { and \\"quotes\\" inside', "priority": "P1"} for k in range(900)]
+    texts = [json.dumps(t) for t in good]
+    bad = ['{"task_id": "x', '{"title": "no id"}', "{]"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    mixed = texts[:300] + bad[:1] + texts[300:600] + bad[1:] + texts[600:]
+    shapes = {
+        "lines": "\n".join(mixed),
+        "array": "[" + ",\n".join(mixed) + "]",
+        "pretty": json.dumps(good, indent=2).replace('"task_id": "RT-20240101-0500"', '"task_id": "RT-20240101-0500'),
+        "one": "[" + ", ".join(texts) + "]",
+    }
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        for name, text in shapes.items():
+            (tmp_path / f"{name}.json").write_text(text)
+            found = {r.task_id for r in store.read_task_json(spark, str(tmp_path / f"{name}.json")).collect()}
+            assert found == {t["task_id"] for t in good} - ({"RT-20240101-0500"} if name == "pretty" else set()), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    counted = store.parse_task_json(store.task_records(spark, str(tmp_path / "array.json")))
+    assert counted.filter("task is null").agg({"broken": "sum"}).first()[0] == 3
