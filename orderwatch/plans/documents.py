@@ -22,29 +22,29 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _shown(df: DataFrame) -> DataFrame:
+def shown(df: DataFrame) -> DataFrame:
     return df.withColumns({"n_chars": F.length("text"), "text_md5": F.md5("text")}).drop("text")
 
 
 def doc_elements(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(documents.elements(texts(spark, folder)))
+    return shown(documents.elements(texts(spark, folder)))
 
 
 def page_elements(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(documents.elements(pages(spark, folder), classify_pages=True))
+    return shown(documents.elements(pages(spark, folder), classify_pages=True))
 
 
 def page_elements_nested(spark: SparkSession, folder: str) -> DataFrame:
     """Elements under the headings that are open at their place."""
-    return _shown(documents.elements(pages(spark, folder), hierarchical=True, classify_pages=True))
+    return shown(documents.elements(pages(spark, folder), hierarchical=True, classify_pages=True))
 
 
 def doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(documents.chunks(texts(spark, folder)))
+    return shown(documents.chunks(texts(spark, folder)))
 
 
 def page_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return _shown(documents.chunks(pages(spark, folder), max_chars=400))
+    return shown(documents.chunks(pages(spark, folder), max_chars=400))
 
 
 def chunk_stats(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,6 +57,11 @@ def category_week_trend(spark: SparkSession, folder: str) -> DataFrame:
     return policy.category_week_trend(load_star(spark, folder), rising_weeks=3)
 
 
+def category_four_week_trend(spark: SparkSession, folder: str) -> DataFrame:
+    """With the number of weeks that the procedure names."""
+    return policy.category_week_trend(load_star(spark, folder))
+
+
 def auto_tasks(spark: SparkSession, folder: str) -> DataFrame:
     return candidates(spark, folder)
 
@@ -84,7 +89,7 @@ def region_evidence(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        delivery_tier, review_tier, product_tier_price_band, review_triage, seller_week_trend, category_week_trend,
+        delivery_tier, review_tier, product_tier_price_band, review_triage, seller_week_trend, category_week_trend, category_four_week_trend,
         auto_tasks, task_dedup, rule_trigger_share, region_evidence,
     )
 }
@@ -218,6 +223,12 @@ ORACLES = {
         "{alerts}",
         f"coalesce(negative_review_rate_pct > 20, false) AS inspection_alert, {_rising('category', 3)} AS strategy_alert",
     ),
+    "category_four_week_trend": _weekly(
+        "category", "category AS product_category_name", "m_rated JOIN m_products USING (product_id)"
+    ).replace(
+        "{alerts}",
+        f"coalesce(negative_review_rate_pct > 20, false) AS inspection_alert, {_rising('category', 4)} AS strategy_alert",
+    ),
     "auto_tasks": query_sql("SELECT * FROM fired", **TASK_VIEWS),
     "task_dedup": query_sql(
         """SELECT target_kind, target_id, cycle, arg_min(task_type, k) AS task_type, min(priority) AS priority,

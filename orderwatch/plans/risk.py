@@ -72,6 +72,18 @@ def order_risk(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(*(clock(c) if c in times else c for c in df.columns))
 
 
+def order_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """One order by its key: the first one."""
+    df = risk.order_risk(load_star(spark, folder), order_id=1)
+    return df.select("order_id", "customer_state", "order_status", "delivery_delay_days", "total_payment", "review_score")
+
+
+def seller_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """One seller by its key."""
+    df = risk.seller_profile(load_star(spark, folder), seller_id=3)
+    return df.select("seller_id", "seller_city", "seller_state", "delivery_metrics.*", F.size("recent_orders").alias("n_recent"))
+
+
 def late_low_review_orders(spark: SparkSession, folder: str) -> DataFrame:
     # a promise is kept within four days at most in this data
     found = risk.late_low_review_orders(load_star(spark, folder), min_delay_days=2)
@@ -115,7 +127,7 @@ QUERIES = {
     for f in (
         orders_enriched, seller_delivery_metrics, state_delay_compare, review_risk_metrics, product_quality_metrics,
         freight_ratio, top_risky_sellers, top_risky_sellers_windowed, risky_sellers_at_level, order_risk,
-        late_low_review_orders, risky_seller_filter, seller_profile, category_quality_risk,
+        order_lookup, seller_lookup, late_low_review_orders, risky_seller_filter, seller_profile, category_quality_risk,
         category_quality_windowed, catalog_counts,
     )
 }
@@ -276,6 +288,18 @@ ORACLES = {
             FROM s o LEFT JOIN m_customers c USING (customer_id)""",
         paid=_PAID, latest=_LATEST, s=_STATE,
     ),
+    "order_lookup": query_sql(
+        f"""SELECT order_id, c.state AS customer_state, order_status, CAST(coalesce(delay, 0) AS DOUBLE) AS delivery_delay_days,
+                   {nearest("coalesce(total_payment, 0)", 2)} AS total_payment, review_score
+            FROM s LEFT JOIN m_customers c USING (customer_id) WHERE order_id = 1""",
+        paid=_PAID, latest=_LATEST, s=_STATE,
+    ),
+    "seller_lookup": query_sql(
+        f"""SELECT seller_id, city AS seller_city, state AS seller_state, total_orders, delivered_orders, canceled_orders,
+                   {", ".join(f"{nearest(f'coalesce({c}, 0)', 2)} AS {c}" for c in ("avg_delivery_delay_days", "delay_rate_pct", "cancel_rate_pct", "avg_price", "total_revenue"))},
+                   least(total_orders, 10) AS n_recent FROM d WHERE seller_id = 3""",
+        d=delivery_sql("seller_id, city, state"),
+    ),
     "late_low_review_orders": query_sql(
         """SELECT order_id, c.state AS customer_state, delay AS delivery_delay_days, review_score
            FROM s LEFT JOIN m_customers c USING (customer_id) WHERE delay > 2 AND review_score <= 2""",

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..operators.tasks import TASK_COLUMNS, TASK_SCHEMA
 from .records import gathered, read_lines, stripped_of_commas
 
-# What stands between two records of an array.
-BETWEEN = r"(?<=\})\s*,?\s*(?=\{)"
+# What stands before a record of an array: a brace and a quoted name with a colon, which no JSON string can
+# hold because its quotes are escaped, or a brace that begins a line, since strings have no line breaks.
+BETWEEN = r'[\s,]*(?=\{\s*"[^"\\]*"\s*:)|\s*[\r\n][\s,]*(?=\{)'
 
 
 def _empty(spark: SparkSession) -> DataFrame:

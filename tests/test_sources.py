@@ -174,5 +174,8 @@ def test_one_bad_record_costs_itself_only(spark, tmp_path):
             assert found == {t["task_id"] for t in good} - ({"RT-20240101-0500"} if name == "pretty" else set()), name
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for text in ("[" + ", ".join(mixed) + "]", shapes["array"]):
+        whole = store.parse_task_json(spark.createDataFrame([(text,)], "value string"))
+        assert {r.task_id for r in whole.select("task.task_id").collect()} == {t["task_id"] for t in good}
     counted = store.parse_task_json(store.task_records(spark, str(tmp_path / "array.json")))
     assert counted.filter("task is null").agg({"broken": "sum"}).first()[0] == 3
