@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation, labelling, marts, retrieval
 from ..operators.tasks import TEXT_LIMITS
 from ..sources.star import load_star, read_table
-from .base import query_sql
+from .base import nearest, query_sql
 from .documents import DOCUMENT_CHUNKS, recursive
 from .retrieval import _FOUND, _HITS, TOP_K, search_index, search_views
 
@@ -162,7 +162,8 @@ _ASKED = f"""
 
 
 def _rate(ok: str, scope: str) -> str:
-    return f"coalesce(round(avg(CAST(({ok}) AS INTEGER)) FILTER ({scope}) * 100, 1), 100)"
+    share = f"avg(CAST(({ok}) AS INTEGER)) FILTER ({scope}) * 100"
+    return f"coalesce({nearest(share, 1)}, 100)"
 
 
 ORACLES = {
@@ -180,9 +181,9 @@ ORACLES = {
     ),
     "intent_labels": query_sql(f"SELECT id, {_label('question')} AS intent FROM asked_turns", asked_turns=_ASKED),
     "eval_by_group": query_sql(
-        """SELECT CASE WHEN difficulty IS NULL THEN 'intent' ELSE 'difficulty' END AS dimension,
+        f"""SELECT CASE WHEN difficulty IS NULL THEN 'intent' ELSE 'difficulty' END AS dimension,
                   coalesce(difficulty, expected) AS value, count(*) AS n_questions,
-                  round(sum(CAST(ok AS INTEGER)) / count(*) * 100, 1) AS intent_accuracy
+                  {nearest("sum(CAST(ok AS INTEGER)) / count(*) * 100", 1)} AS intent_accuracy
            FROM labelled GROUP BY GROUPING SETS ((difficulty), (expected))""",
         asked_turns=_ASKED,
         labelled=f"SELECT *, {_label('question')} = expected AS ok FROM asked_turns",
