@@ -35,7 +35,8 @@ FILTERS = 16
 DIM = 8
 PER_LANG = 500
 PER_DOC = 4
-MAX_LANGS = 64
+# A bound on hashes lets about so many times the wanted documents of a language through.
+SPARE = 4
 EPOCHS = 4
 BATCH = 96
 UNKNOWN = "und"
@@ -132,24 +133,30 @@ def chances(net: Net, tables: list[list[np.ndarray]], x: np.ndarray) -> np.ndarr
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = PER_DOC) -> Net | None:
-    """Learn from the sample; None if no document has text and a language.
+    """Learn from at most ``per_lang`` documents of each language; None if no document has text and a language.
 
-    Of more than MAX_LANGS languages the most frequent are learned.
+    Of the rows that share an id and a language the text with the smallest hash counts.
     """
     known = docs.filter("lang is not null and length(text) > 0").filter(fold(4) != 2)
-    names = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
+    counts = known.groupBy("lang").count().collect()  # a row for each language, which is a class to learn
+    names = sorted(r.lang for r in counts)
     if not names:
         return None
+    # The wanted documents have the smallest hashes; a bound on these leaves few rows of each language to rank.
+    shares = [(r.lang, int(-(2**63) + 2**64 * min(SPARE * per_lang / r["count"], 1)) - 1) for r in counts]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame([(n, min(b, 2**63 - 1)) for n, b in shares], "lang string, bound long"))
+    few = known.select("doc_id", "lang").join(bounds, "lang").filter(F.xxhash64("doc_id") <= F.col("bound")).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.filter(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
+    ids = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = [spread(cut(t.encode()), per_doc).tobytes() for t in rows_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(some, pa.binary())], ["doc_id", "lang", "windows"])
 
-    # At most MAX_LANGS * per_lang ids: a proven bound.
-    chosen = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
+    # At most per_lang ids for each language: a proven bound, and one row for each comes to the driver.
+    chosen = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = chosen.mapInArrow(sample, f"doc_id {key}, lang string, windows binary").collect()
     rows = sorted((r for r in rows if r.lang in names), key=lambda r: (str(r.doc_id), r.lang, bytes(r.windows)))

@@ -119,7 +119,10 @@ def train(sample: list[tuple[bytes, bytes, int]], epochs: int = EPOCHS, rate: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` labelled documents outside the held-out fold."""
+    """Learn from at most ``sample`` labelled documents outside the held-out fold.
+
+    Of the rows that share an id the text with the smallest hash counts.
+    """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.filter(fold(3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -131,9 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # The sample's ids are at most ``sample`` rows: a proven bound.
     chosen = docs.select("doc_id", whole_text()).join(F.broadcast(known.select("doc_id", F.col("quality").cast("int"))), "doc_id")
+    # One row for each id, so at most ``sample`` rows come to the driver, however often an id occurs.
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = chosen.mapInArrow(count, "rows binary, counts binary, quality int, doc_id long").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.rows), bytes(r.counts)))
-    return train([(bytes(r.rows), bytes(r.counts), int(r.quality > 0)) for r in rows[: 2 * sample]])
+    return train([(bytes(r.rows), bytes(r.counts), int(r.quality > 0)) for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
