@@ -36,15 +36,10 @@ from .shared import rows_of, text_batches, whole_text
 LEAF_CHARS = 4096
 SPAN_CHARS = 32768
 FIRST_WINDOW = 4
-# Bytes of units and ids that a worker keeps, and what each unit takes besides its characters and ids.
-KEPT_BYTES, UNIT_BYTES = 32 << 20, 180
 
 # White space of the pre-tokenizer's pattern, and the byte-level pattern itself (fixed values).
 _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNIT = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
-# Units that start and end where the pre-tokenizer splits, whatever stands beside them.
-_ALONE = re.compile(f"[{_BLANK}]+[^{_BLANK}]+").fullmatch
 _IS_BLANK = re.compile(f"[{_BLANK}]")
 _IS_LETTER, _IS_DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 
@@ -109,46 +104,11 @@ class Coder:
         if merged != list(range(256, 256 + len(merged))):
             raise ValueError("ids must follow the order of the merges")
         ranks = {self.bytes_of[k]: k for k in vocabulary.values() if k not in added}
-        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.kept: dict[str, bytes] = {}
-        self.size = 0
-        self.earlier: dict[str, bytes] = {}
         self.merger = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def leaf(self, text: str) -> bytes:
-        """Ids of a short text as little-endian 32-bit integers.
-
-        The text is taken in units that the pre-tokenizer never joins (white space
-        and what follows). Ids of units met lately are kept, about KEPT_BYTES to
-        twice as much. New units are encoded in one call, side by side as they might stand in a text,
-        and told apart by the bytes of their ids.
-        """
-        units = _UNIT.findall(text)
-        missing = set(units).difference(self.kept)
-        if missing:
-            if self.size > KEPT_BYTES:
-                self.earlier, self.kept, self.size = self.kept, {}, 0
-                missing = set(units)
-            self._learn(missing)
-        return b"".join(map(self.kept.__getitem__, units))
-
-    def _learn(self, units: set[str]) -> None:
-        new = []
-        for unit in units:
-            ids = self.earlier.get(unit)
-            if ids is None and _ALONE(unit):
-                new.append(unit)
-                continue
-            self.kept[unit] = ids or array("I", self.merger.encode_ordinary(unit)).tobytes()
-            self.size += UNIT_BYTES + len(unit) + len(self.kept[unit])
-        if new:
-            ids = np.array(self.merger.encode_ordinary("".join(new)), np.uint32)
-            ends, data, at = np.cumsum(self.lengths[ids]), ids.tobytes(), 0
-            own = np.cumsum([len(unit.encode()) for unit in new])
-            for unit, end in zip(new, (4 * np.searchsorted(ends, own) + 4).tolist()):
-                self.kept[unit] = data[at:end]
-                self.size += UNIT_BYTES + len(unit) + end - at
-                at = end
+        """Ids of a short text as little-endian 32-bit integers."""
+        return array("I", self.merger.encode_ordinary(text)).tobytes()
 
     def tree(self, text: str) -> bytes:
         if len(text) <= LEAF_CHARS:
