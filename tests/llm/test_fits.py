@@ -1,11 +1,14 @@
-"""What the fits of the two classifiers bring to the driver, and their forward passes against plain ones."""
+"""What the fits of the two classifiers bring to the driver, their forward passes against plain ones, and the weights of the language model."""
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from orderwatch.llm import byte_cnn, quality_model
+from orderwatch.llm import byte_cnn, lm, quality_model
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +52,30 @@ def test_convolution_equals_a_plain_one(spark, rows):
         odds = np.concatenate(pooled) @ net.layer + net.bias
         plain = np.exp(odds - odds.max())
         assert np.allclose(chance, plain / plain.sum(), atol=1e-5)
+
+
+def test_mixture_weights_are_learned_from_all_training_events(spark):
+    rows = [(k, " ".join(f"w{(k * j) % 23} w{(k + j * j) % 31}" for j in range(40)), "aa") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    counts, _ = lm.count(docs)
+    taught = [r[1].split() for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    events = [e for words in taught for e in zip([None, *words], [*words, None])]
+    tokens, contexts, pairs = Counter(e[1] for e in events), Counter(e[0] for e in events), Counter(events)
+    want, total, none = np.tile([0.1, 0.6, 0.3], (64, 1)), len(events), 1 / (len(tokens) + 1)
+
+    def step(count, size):
+        return 2 ** (round(lm.STEPS * np.log2((count - 1) / max(size - 1, 1))) / lm.STEPS) if count > 1 else 0.0
+
+    cells = {}
+    for before, word in events:
+        size = contexts[before]
+        cells.setdefault(int(np.log2(size)), []).append([none, step(tokens[word], total), step(pairs[before, word], size)])
+    for bucket, chances in cells.items():
+        chances = np.array(chances)
+        for _ in range(lm.EM_ROUNDS):
+            share = chances * want[bucket]
+            want[bucket] = (share / share.sum(1, keepdims=True)).sum(0) / len(chances)
+        want[bucket] = (want[bucket] * len(chances) + 1 / 3) / (len(chances) + 1)
+    for groups in (1, 3):
+        kept = lm._events(docs, counts, groups)
+        assert np.allclose(lm.learn(kept, counts), want, rtol=1e-6)
