@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import as_timestamp
+from ..session import new_path, stored
 from .records import gathered, read_lines, with_quote_starts
 
 # Fixed values of the public dataset: file and table names.
@@ -61,9 +62,10 @@ def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame | No
 
 def _across_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Records whose quoted values may hold line breaks. The first record of a file is its header."""
-    records = gathered(with_quote_starts(read_lines(spark, path)))
-    heads = records.groupBy("file").agg(F.min("first").alias("first"))
-    rows = records.join(heads, ["file", "first"], "left_anti").filter("record != ''")
+    # Written once: the starts of the records are used several times.
+    lines = stored(with_quote_starts(read_lines(spark, path)), new_path(spark, "lines"))
+    heads = lines.filter("start").groupBy("file").agg(F.min("at").alias("first"))
+    rows = gathered(lines).join(heads, ["file", "first"], "left_anti").filter("record != ''")
     fields = ", ".join(f"c{i} STRING" for i in range(len(columns)))
     parsed = rows.select(F.from_csv("record", fields, {"escape": '"', "multiLine": "true"}).alias("r"))
     return parsed.select(*(F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from orderwatch.operators import tasks
 from orderwatch.operators.marts import build_marts
-from orderwatch.sources import audit, documents, marketplace, store
+from orderwatch.sources import audit, documents, marketplace, records, store
 from orderwatch.sources.records import read_lines
 
 
@@ -179,3 +179,16 @@ def test_one_bad_record_costs_itself_only(spark, tmp_path):
         assert {r.task_id for r in whole.select("task.task_id").collect()} == {t["task_id"] for t in good}
     counted = store.parse_task_json(store.task_records(spark, str(tmp_path / "array.json")))
     assert counted.filter("task is null").agg({"broken": "sum"}).first()[0] == 3
+
+
+def test_records_span_blocks_of_a_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "BLOCK_LINES", 3)
+    rows = [(f"r{k}", "\n".join(f'{k} "{j}", x' for j in range(k % 9 + 1))) for k in range(40)]
+    body = "\n".join(f'"{i}","{t.replace(chr(34), chr(34) * 2)}"' for i, t in rows)
+    (tmp_path / "reviews.csv").write_text(f'"review_id","review_comment_message"\n{body}\n', newline="")
+    lines = read_lines(spark, str(tmp_path / "reviews.csv"))
+    assert lines.groupBy("file", "block", "part").count().agg({"count": "max"}).first()[0] == 3
+    found = marketplace.read_csv_table(spark, str(tmp_path / "reviews.csv"), "order_reviews")
+    assert sorted(map(tuple, found.collect())) == sorted(rows)
+    # The header is told from the stored lines; no record is gathered twice for it.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
