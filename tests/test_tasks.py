@@ -271,3 +271,11 @@ def test_tasks_from_findings(spark):
 def test_columns_are_stable(spark):
     df = store(spark, ("1", "delivery_risk", "P0", "pending", "a", "", T0, None, None))
     assert tuple(tasks.auto_close(df, "2024-03-08").columns) == tasks.TASK_COLUMNS
+
+
+def test_candidates_are_worked_out_once(spark):
+    new = candidates(spark, *(candidate(target=f"s{k}") for k in range(5))).selectExpr("*", "timestamp'2024-03-01' AS created_at")
+    numbered = tasks.number_tasks(new)
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "unnumbered" in " ".join(numbered.inputFiles()) and "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert sorted(r.task_id for r in numbered.collect()) == [f"RT-20240301-{k:04d}" for k in range(1, 6)]
