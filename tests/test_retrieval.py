@@ -258,3 +258,13 @@ def test_blanks_and_accents_of_any_kind(spark):
     found = retrieval.search(chunks, queries).collect()
     assert sorted((r.query_id, r.chunk_id) for r in found) == [(0, "a"), (1, "a"), (2, "b"), (3, "b"), (4, "d"), (5, "d")]
     assert retrieval.corpus_stats(chunks).first().n_chunks == 3
+
+
+def test_grams_are_not_shuffled_for_a_few_needles(spark):
+    chunks = spark.createDataFrame([("c1", "abcde fghij"), ("c2", "xxcdexx")], "chunk_id string, text string")
+    index = build_index(chunks, columns=["text"])
+    needles = spark.createDataFrame([(1, "cde"), (2, "zzz")], "query_id int, needle string")
+    held = retrieval._holding(index, needles)
+    assert any("/rarest-" in f for f in held.inputFiles())
+    terms = {r.term_no: r.term for r in index.table("terms").collect()}
+    assert sorted((r.query_id, terms[r.term_no]) for r in held.collect()) == [(1, "abcde"), (1, "xxcdexx")]
