@@ -268,3 +268,20 @@ def test_grams_are_not_shuffled_for_a_few_needles(spark):
     assert any("/rarest-" in f for f in held.inputFiles())
     terms = {r.term_no: r.term for r in index.table("terms").collect()}
     assert sorted((r.query_id, terms[r.term_no]) for r in held.collect()) == [(1, "abcde"), (1, "xxcdexx")]
+
+
+def test_vocabulary_shuffles_terms_only(spark):
+    """Chunks that come twice, also with a null id, count as one; others are not shuffled to be counted."""
+    rows = [("a", "x y x", "x", "", "", "x"), ("a", "y z", "", "", "", ""), (None, "x x", "", "", "", ""), (None, "q", "x", "", "", ""), ("b", "y \u00e9 ???", "e", "", "", ""), ("c", "???", "", "", "", "")]
+    posted = retrieval.postings(spark.createDataFrame(rows, CHUNK_SCHEMA))
+    found = {(r.term, r.chunk_id, r.field): r.tf for r in posted.collect()}
+    assert found == {
+        ("x", "a", "text"): 2, ("y", "a", "text"): 2, ("z", "a", "text"): 1, ("x", "a", "source"): 1, ("x", "a", "content_type"): 1,
+        ("x", None, "text"): 2, ("q", None, "text"): 1, ("x", None, "source"): 1, ("y", "b", "text"): 1, ("e", "b", "text"): 1, ("e", "b", "source"): 1,
+    }
+    terms = {r.term: (r.df, r.cf) for r in retrieval.vocabulary(posted).collect()}
+    assert terms == {"x": (2, 7), "y": (2, 3), "z": (1, 1), "q": (1, 1), "e": (1, 2)}
+    assert terms == {r.term: (r.df, r.cf) for r in retrieval.vocabulary(posted.drop("first")).collect()}
+    once = retrieval.postings(spark.createDataFrame([r for r in rows if r[0] in ("b", "c")], CHUNK_SCHEMA))
+    once.collect()
+    assert retrieval.vocabulary(once).count() == 2
