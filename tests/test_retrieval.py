@@ -270,6 +270,31 @@ def test_grams_are_not_shuffled_for_a_few_needles(spark):
     assert sorted((r.query_id, terms[r.term_no]) for r in held.collect()) == [(1, "abcde"), (1, "xxcdexx")]
 
 
+def test_hits_of_a_chunk_meet_without_a_shuffle(spark, index, queries):
+    phrases = retrieval.query_phrases(queries).filter("phrase != ''").withColumn("phrase_no", F.xxhash64("phrase"))
+    for n in ("n_parts = 1", "n_parts >= 1"):
+        plan = retrieval.phrase_hits(index, phrases.filter(n))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+
+
+def test_buckets_hold_a_bounded_part_of_the_texts(spark, monkeypatch):
+    from orderwatch.operators import index as index_module
+
+    monkeypatch.setattr(index_module, "BUCKET_BYTES", 100)
+    rows = [(f"c{k:02d}", f"delivery n{k} of gem {'late ' * (k % 4)}", "s", "", "", "paragraph") for k in range(40)]
+    written = build_index(spark.createDataFrame(rows, CHUNK_SCHEMA))
+    assert written.table("totals").first().n_buckets == 1 + sum(len(r[1]) for r in rows) // 100
+    asked = [(1, "late gem"), (2, "n1"), (3, "delivery zzz")]
+    found = retrieval.search(open_index(spark, written.path), spark.createDataFrame(asked, "query_id long, query string"), 4)
+    assert answers_of(found, asked) == brute_force(rows, asked, 4)
+
+
+@pytest.mark.parametrize("frequent", [0, 2, 5])
+def test_common_and_rare_terms_give_the_same_hits(spark, chunks, queries, monkeypatch, frequent):
+    monkeypatch.setattr(retrieval, "FREQUENT", frequent)
+    assert answers_of(retrieval.search(chunks, queries, 3), QUERIES) == brute_force(CHUNKS, QUERIES, 3)
+
+
 def test_vocabulary_shuffles_terms_only(spark):
     """Chunks that come twice, also with a null id, count as one; others are not shuffled to be counted."""
     rows = [("a", "x y x", "x", "", "", "x"), ("a", "y z", "", "", "", ""), (None, "x x", "", "", "", ""), (None, "q", "x", "", "", ""), ("b", "y \u00e9 ???", "e", "", "", ""), ("c", "???", "", "", "", "")]
